@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import chunk_dedup, pack
+from geoloom.llm import chunk_dedup, ngram_join, pack
 from geoloom.llm.scratch import Scratch
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -28,10 +28,27 @@ def op2_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.piece_table(pieces)
 
 
+def op5_ngram_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+
+
 def op9_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_groups(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
 
 
+OP5_SQL = rf"""
+with recursive t as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\x20\x09-\x0D]+') as w from documents),
+g as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from t),
+n as (select doc_id, count(*) as n from g group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as c from g a join g b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+l as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c.c >= 75 * (p.n + q.n - c.c)),
+r(x, y) as (select x, y from l union select r.x, l.y from r join l on l.x = r.y)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.m, d.doc_id)) as component_id
+from documents d left join n on n.doc_id = d.doc_id left join (select x, min(y) as m from r group by x) m on m.x = d.doc_id
+"""
 OP9_SQL = f"""
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
        doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
@@ -40,6 +57,7 @@ from (select doc_id, translate(coalesce(text, ''), {UPPER_LOWER}) as t from docu
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_concat_and_cut": op2_concat_and_cut,
+    "op5_ngram_product": op5_ngram_product,
     "op9_chunk_recipes": op9_chunk_recipes,
 }
-ORACLE: dict[str, str] = {"op9_chunk_recipes": OP9_SQL}
+ORACLE: dict[str, str] = {"op5_ngram_product": OP5_SQL, "op9_chunk_recipes": OP9_SQL}
