@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import chunk_dedup, ngram_join, pack
+from geoloom.llm import chunk_dedup, ngram_join, pack, toxic_pu
 from geoloom.llm.scratch import Scratch
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -36,6 +36,10 @@ def op9_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_groups(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
 
 
+def op10_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_pu.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op10"))
+
+
 OP5_SQL = rf"""
 with recursive t as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\x20\x09-\x0D]+') as w from documents),
@@ -59,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_concat_and_cut": op2_concat_and_cut,
     "op5_ngram_product": op5_ngram_product,
     "op9_chunk_recipes": op9_chunk_recipes,
+    "op10_positive_unlabelled": op10_positive_unlabelled,
 }
 ORACLE: dict[str, str] = {"op5_ngram_product": OP5_SQL, "op9_chunk_recipes": OP9_SQL}
