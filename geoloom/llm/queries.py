@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import chunk_dedup, ngram_join, pack, toxic_pu
+from geoloom.llm import chunk_dedup, ngram_join, pack, resample, toxic_pu
 from geoloom.llm.scratch import Scratch
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -28,6 +28,10 @@ def op2_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.piece_table(pieces)
 
 
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op4"))
+
+
 def op5_ngram_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
 
@@ -61,6 +65,7 @@ from (select doc_id, translate(coalesce(text, ''), {UPPER_LOWER}) as t from docu
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_concat_and_cut": op2_concat_and_cut,
+    "op4_importance_resampling": op4_importance_resampling,
     "op5_ngram_product": op5_ngram_product,
     "op9_chunk_recipes": op9_chunk_recipes,
     "op10_positive_unlabelled": op10_positive_unlabelled,

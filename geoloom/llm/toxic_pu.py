@@ -213,7 +213,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, max_positive: int = M
     order = F.xxhash64("label_id", F.lit(_FOLD_SEED))
     part = lambda limit, of: F.pmod(order, F.lit(1 << 20)) < int((1 << 20) * min(1.0, limit / max(of, 1)))
     picked = seen.select("label_id", (part(max_positive, k or 0) & (F.col("toxic") == 1)).alias("p"), part(max_unlabelled, n or 0).alias("u")).filter("p or u")
-    rows = documents.select("doc_id", "text").join(picked.hint("shuffle_hash"), F.col("doc_id") == F.col("label_id"))
+    # About max_positive + max_unlabelled ids at most, hence the broadcast.
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
     kinds = F.array_compact(F.array(F.when(F.col("p"), F.lit(0)), F.when(F.col("u"), F.lit(1))))
     half = F.pmod(F.xxhash64("doc_id", F.lit(_FOLD_SEED + 1)), F.lit(HALVES)).cast("int")
     return rows.select(F.explode(kinds).alias("kind"), half.alias("half"), "text"), prior
@@ -269,6 +270,23 @@ def scores(documents: DataFrame, model: ToxicModel) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def drop_toxic(documents: DataFrame, labels: DataFrame, scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose score stays below the threshold, with all their columns and without a shuffle."""
+    shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, scratch))
+    text = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        memo: dict[int, float] = {}
+        for batch in batches:
+            out = np.zeros(batch.num_rows)
+            for a, b, data, offsets in ts.slices(batch.column(text)):
+                out[a:b] = m.score(describe(data, offsets, m.odds, memo))
+            yield batch.filter(pa.array(out < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def toxicity(documents: DataFrame, labels: DataFrame, scratch) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     found = scores(documents, fit(documents, labels, scratch))
