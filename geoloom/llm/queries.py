@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import chunk_dedup, ngram_join, pack, resample, toxic_pu
+from geoloom.llm import chunk_dedup, ngram_join, pack, resample, toxic_pu, warc
 from geoloom.llm.scratch import Scratch
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -23,6 +23,19 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.capture_index(table(spark, sf_dir, "pages"), Scratch(spark, "op1"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+select page_id, strlen(h) as payload_bytes, sha256(h) as payload_digest,
+       case when strlen(h) >= 100 and page_id > min(page_id) over (partition by h) then 'revisit' else 'response' end as record_type,
+       case when strlen(h) >= 100 and page_id > min(page_id) over (partition by h) then min(page_id) over (partition by h) end as refers_to
+from (select page_id, coalesce(html, '') as h from pages)
+"""
+
+
 def op2_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack.packed_pieces(table(spark, sf_dir, "documents"), Scratch(spark, "op2"), tokenizer_path("byte_bpe_50k.json"))
     return pack.piece_table(pieces)
@@ -64,10 +77,11 @@ from (select doc_id, translate(coalesce(text, ''), {UPPER_LOWER}) as t from docu
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_index": op1_warc_index,
     "op2_concat_and_cut": op2_concat_and_cut,
     "op4_importance_resampling": op4_importance_resampling,
     "op5_ngram_product": op5_ngram_product,
     "op9_chunk_recipes": op9_chunk_recipes,
     "op10_positive_unlabelled": op10_positive_unlabelled,
 }
-ORACLE: dict[str, str] = {"op5_ngram_product": OP5_SQL, "op9_chunk_recipes": OP9_SQL}
+ORACLE: dict[str, str] = {"op1_warc_index": OP1_SQL, "op5_ngram_product": OP5_SQL, "op9_chunk_recipes": OP9_SQL}
