@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import chunk_dedup, ngram_join, pack, resample, toxic_pu, warc
+from geoloom.llm import chunk_dedup, html_text, ngram_join, pack, resample, toxic_pu, warc
 from geoloom.llm.scratch import Scratch
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -41,6 +41,10 @@ def op2_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.piece_table(pieces)
 
 
+def op3_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op4"))
 
@@ -79,6 +83,7 @@ from (select doc_id, translate(coalesce(text, ''), {UPPER_LOWER}) as t from docu
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index": op1_warc_index,
     "op2_concat_and_cut": op2_concat_and_cut,
+    "op3_tree_scoring": op3_tree_scoring,
     "op4_importance_resampling": op4_importance_resampling,
     "op5_ngram_product": op5_ngram_product,
     "op9_chunk_recipes": op9_chunk_recipes,
