@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import ann, chunk_dedup, html_text, ngram_join, pack, resample, toxic_pu, warc
+from geoloom.llm import ann, chunk_dedup, html_text, ngram_join, pack, resample, sp_codec, toxic_pu, warc
 from geoloom.llm.scratch import Scratch
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -57,6 +57,10 @@ def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), Scratch(spark, "op7"))
 
 
+def op8_shared_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_groups(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_importance_resampling": op4_importance_resampling,
     "op5_ngram_product": op5_ngram_product,
     "op7_learned_partitions": op7_learned_partitions,
+    "op8_shared_viterbi": op8_shared_viterbi,
     "op9_chunk_recipes": op9_chunk_recipes,
     "op10_positive_unlabelled": op10_positive_unlabelled,
 }
