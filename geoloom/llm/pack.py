@@ -19,7 +19,7 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,10 +108,10 @@ def _encode(path: str, texts: list[str]) -> list[list[int]]:
 
 
 class Memo:
-    """Ids of distinct pre-tokens by 64-bit hash, as one ragged array."""
+    """Ids of distinct strings by 64-bit hash, as one ragged array; ``encode`` is asked for new ones."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+        self.encode = encode
         self.clear()
 
     def clear(self) -> None:
@@ -129,7 +129,7 @@ class Memo:
         found = [get(h, -1) for h in hashes.tolist()]
         new = [i for i, s in enumerate(found) if s < 0]
         if new:
-            for i, ids in zip(new, _encode(self.path, [word(i) for i in new]), strict=True):
+            for i, ids in zip(new, self.encode([word(i) for i in new]), strict=True):
                 while self.n >= len(self.start):
                     self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
                 while self.used + len(ids) > len(self.ids):
@@ -141,11 +141,18 @@ class Memo:
                 self.used += len(ids)
         return np.array(found, dtype=np.int64)
 
+    def gather(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the slots one after another, and where each ends."""
+        lengths = self.length[slot]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.start[slot] - (ends - lengths), lengths) + np.arange(total)], ends
+
 
 def token_ids(column: pa.Array, path: str) -> Iterator[np.ndarray]:
     """The ids of every text of the column, in order."""
     if _STATE.get("memo_path") != path:
-        _STATE.update(memo=Memo(path), memo_path=path)
+        _STATE.update(memo=Memo(lambda texts: _encode(path, texts)), memo_path=path)
     memo: Memo = _STATE["memo"]
     for _, _, data, offsets in ts.slices(column):
         if not len(data):
@@ -157,10 +164,7 @@ def token_ids(column: pa.Array, path: str) -> Iterator[np.ndarray]:
         del prefix
         raw = data.tobytes()
         slot = memo.slots(hashes, lambda i, w=where, s=starts, raw=raw: raw[s[w[i]] : s[w[i] + 1]].decode("utf-8"))[which]
-        lengths = memo.length[slot]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1])
-        flat = memo.ids[np.repeat(memo.start[slot] - (ends - lengths), lengths) + np.arange(total)]
+        flat, ends = memo.gather(slot)
         cut = np.append(0, ends)[first]
         for d in range(len(offsets) - 1):
             if slow[d]:
@@ -197,7 +201,7 @@ def packed_pieces(documents: DataFrame, scratch: Scratch, tokenizer: str, window
     # One row per partition: the second of the two prefix sums.
     bases = totals.selectExpr("part", "sum(total) over (order by part rows between unbounded preceding and 1 preceding) as base")
     g = F.coalesce("base", F.lit(0)) + F.col("local")
-    placed = tokens.join(bases, "part").withColumn("g", g)
+    placed = tokens.join(F.broadcast(bases), "part").withColumn("g", g)  # one row of 12 bytes per task of pass one, whatever its input
     w = F.lit(window)
     pieces = placed.select("*", F.explode(F.sequence(F.floor(F.col("g") / w), F.floor((F.col("g") + F.col("doc_tokens") - 1) / w))).alias("sequence_id"))
     start = F.greatest(F.lit(0).cast("long"), F.col("sequence_id") * w - F.col("g"))
