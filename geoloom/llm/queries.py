@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import ann, chunk_dedup, html_text, ngram_join, pack, resample, sp_codec, toxic_pu, warc
+from geoloom.llm import ann, chunk_dedup, html_text, license_rules, ngram_join, pack, resample, sp_codec, toxic_pu, warc
 from geoloom.llm.scratch import Scratch
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -53,6 +53,10 @@ def op5_ngram_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
 
 
+def op6_signature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), Scratch(spark, "op7"))
 
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_tree_scoring": op3_tree_scoring,
     "op4_importance_resampling": op4_importance_resampling,
     "op5_ngram_product": op5_ngram_product,
+    "op6_signature_rules": op6_signature_rules,
     "op7_learned_partitions": op7_learned_partitions,
     "op8_shared_viterbi": op8_shared_viterbi,
     "op9_chunk_recipes": op9_chunk_recipes,
