@@ -32,3 +32,8 @@ def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
         return f(spark, sf_dir)
 
     return run
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Where written tables and stream checkpoints go: the cluster's shared folder, or a local one in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/geoloom"
