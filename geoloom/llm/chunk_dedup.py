@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.scratch import Scratch
+from geoloom.llm.scratch import Scratch, free_name
 
 MIN_CHUNK, MAX_CHUNK = 256, 2048
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,6 +71,7 @@ def drop_copies(documents: DataFrame, scratch: Scratch, id_col: str = "doc_id",
 
     Rows that repeat both doc_id and text of a kept document stay with it.
     """
-    gone = scratch.keep(exact_groups(documents, scratch, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct(), "gone")
-    same = F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.sha2(normalised(F.col(text_col)), 256) == F.col("gone_sha"))
+    gone_id, gone_sha = free_name(documents, "gone_id"), free_name(documents, "gone_sha")
+    gone = scratch.keep(exact_groups(documents, scratch, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha)).distinct(), "gone")
+    same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.sha2(normalised(F.col(text_col)), 256) == F.col(gone_sha))
     return documents.join(gone.hint("shuffle_hash"), same, "left_anti")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm import textscan as ts
-from geoloom.llm.scratch import Scratch
+from geoloom.llm.scratch import Scratch, free_name
 
 BUCKETS = 1 << 16
 #: Labelled good rows to count at most for the target model, chosen by hash.
@@ -159,7 +159,7 @@ def take_from(documents: DataFrame, ratio: Ratio, least: float, seed: int = SEED
             _, key = _keys(batch.column(text), batch.column(n), shared.value, temperature)
             yield batch.select(list(range(n))).filter(pa.array(key >= least))
 
-    return documents.select("*", _uniform(seed).alias("u")).mapInArrow(run, documents.schema)
+    return documents.select("*", _uniform(seed).alias(free_name(documents, "u"))).mapInArrow(run, documents.schema)
 
 
 def best_cut(weight: np.ndarray, good: np.ndarray) -> float:
