@@ -112,7 +112,7 @@ class _Stream(SimpleDataSourceStreamReader):
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         files = [(s, p) for s, p in self._files() if s > start["sequence"]]
         end = {"sequence": files[-1][0] if files else start["sequence"]}
-        return self.readBetweenOffsets(start, end), end
+        return iter(list(self.readBetweenOffsets(start, end))), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         for s, p in self._files():
