@@ -13,7 +13,7 @@ transpose, computed in blocks and only where size bounds leave room:
    shingles suffice to meet any partner. Each posting list first links its
    members to one leader (linear, not all pairs), with exact overlap counts.
 4. *Blocked product for the rest.* A class and a component that meet in a list
-   and are not connected yet are multiplied block by block (``BLOCK`` classes of
+   and are not connected yet are multiplied block by block (``MEMBER_ENTRIES`` entries of
    the component at a time), so every remaining pair is decided exactly;
    only links leave a block. The smaller component probes the larger one.
 
@@ -39,13 +39,13 @@ from pyspark.sql import functions as F
 
 from geoloom.llm import textscan as ts
 from geoloom.llm.components import connected
-from geoloom.llm.scratch import Scratch
+from geoloom.llm.scratch import Scratch, free_name
 
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Incidence entries of an input block and of a hash bucket.
 BLOCK_ENTRIES = 1 << 20
-#: Classes of a component, and probes, that one block of the product holds.
-BLOCK, PROBES = 256, 4096
+#: Incidence entries of a component's classes, of the probes, and of a bin of blocks in the product.
+MEMBER_ENTRIES, PROBE_ENTRIES, BIN_ENTRIES = 1 << 17, 1 << 19, 1 << 21
 MANY = 0xFFFF
 
 
@@ -71,6 +71,16 @@ def set_key(values: np.ndarray) -> bytes:
 _SHIPPED = pa.schema([("g", pa.int64()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary())])
 
 
+#: Bits of the parity bitmap that bounds an overlap: sets that differ in d elements differ in at most d bits.
+BITS = 256
+
+
+def parity_bits(values: np.ndarray) -> np.ndarray:
+    """The parity of the number of elements by their highest bits, as 64-bit words."""
+    counts = np.bincount((values >> np.uint64(56)).astype(np.int64), minlength=BITS)
+    return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
+
+
 def _ship(n: int, buckets: int):
     """Blocks of the input: one row per bucket with (low hash bits, document in the block), and one with the block's documents."""
 
@@ -168,7 +178,7 @@ def _set_rows(n: int):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 sets = list(shingle_sets(batch.column(0).slice(a, 256), n))
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parity_bits(s) for s in sets], pa.list_(pa.int64()))], ["key", "grams", "bits"])
 
     return run
 
@@ -228,12 +238,14 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, id_col: str = "do
     shipped = docs.mapInArrow(_ship(n, buckets), "g long, block long, a binary, b binary, ids binary, keys binary")
     answers = shipped.groupBy("g").applyInArrow(_answer, "block long, a binary, b binary, ids binary, keys binary")
     meta = scratch.keep(answers.groupBy("block").applyInArrow(_sum_up, "doc_id long, n int, shared int, key binary"), "meta")
+    scratch.release()
 
     classes = meta.filter(f"n > 0 and shared * {den} >= n * {num}").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("shared").alias("cap"), F.min("n").alias("n"))
     reps = classes.select("rep").distinct()
     texts = docs.join(reps.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    sets = texts.mapInArrow(_set_rows(n), "key binary, grams array<long>").groupBy("key").agg(F.first("grams").alias("grams"))
+    sets = texts.mapInArrow(_set_rows(n), "key binary, grams array<long>, bits array<long>").groupBy("key").agg(F.first("grams").alias("grams"), F.first("bits").alias("bits"))
     nodes = scratch.keep(classes.select("key", "cap", "n").join(sets, "key").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    scratch.release()
 
     prefix = F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1
     postings = nodes.select("node", "n", "cap", F.posexplode(F.slice("grams", F.lit(1), prefix.cast("int"))).alias("pos", "h"))
@@ -252,23 +264,32 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, id_col: str = "do
     links = scratch.keep(linked, "links")
     labels = connected(links, scratch, "cc-stars")
 
-    known = listed.select("node", "h").join(labels, "node", "left").select("node", "h", F.coalesce("label", "node").alias("label"))
-    known = scratch.keep(known, "known")
+    # What a member of a list can still overlap with another one there, whatever comes later in the order.
+    reach = F.least("cap", F.col("n") - F.col("pos"))
+    known = scratch.keep(listed.select("node", "h", "n", reach.alias("reach")).join(labels, "node", "left").select("node", "h", "n", "reach", F.coalesce("label", "node").alias("label")), "known")
+    comps = scratch.keep(nodes.select("node", "cap", "n").join(labels, "node", "left").select("node", "cap", "n", F.coalesce("label", "node").alias("c")), "comps")
+    sizes = comps.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("entries"))
     open_lists = known.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h")
-    meets = scratch.keep(known.join(open_lists, "h"), "meets")
-    comps = scratch.keep(nodes.select("node", "cap").join(labels, "node", "left").select("node", "cap", F.coalesce("label", "node").alias("c")), "comps")
-    sizes = comps.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
-    sized = meets.join(sizes.withColumnRenamed("c", "label"), "label")
-    present = sized.select("h", F.col("label").alias("c"), "size").distinct()
-    asks = sized.alias("x").join(present.alias("y"), "h").filter("x.label <> c and (x.size, x.label) < (y.size, c)").select("node", "c", F.col("y.size").alias("size")).distinct()
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    asks = scratch.keep(asks.select("node", "c", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")), "asks")
-    wanted = asks.groupBy("c", "block").agg(F.ceil(F.count(F.lit(1)) / PROBES).cast("int").alias("parts"))
+    bits = nodes.select("node", "bits")
+    sized = scratch.keep(known.join(open_lists, "h").join(sizes.withColumnRenamed("c", "label"), "label").join(bits, "node"), "meets")
+    present = sized.groupBy("h", "label", "size", "entries").agg(F.max("reach").alias("c_reach"), F.min("n").alias("c_low"), F.max("n").alias("c_high"), F.min(F.when(F.col("size") == 1, F.col("bits"))).alias("c_bits"))
+    present = present.select("h", F.col("label").alias("c"), F.col("size").alias("c_size"), F.col("entries").alias("c_entries"), "c_reach", "c_low", "c_high", "c_bits")
+    # A partner's size is at least num/den of the probe's, and at most the inverse of it.
+    asks = sized.join(present, "h").withColumn("c_low", F.greatest("c_low", F.ceil(F.lit(num) * F.col("n") / F.lit(den))))
+    able = (F.least("reach", "c_reach") >= _least_overlap("n", "c_low", num, den)) & (F.col("c_low") <= F.col("c_high"))
+    # Against a single class the bitmaps bound the overlap: unequal bits are elements of one set only.
+    unequal = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("c_bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    able = able & F.coalesce(F.col("n") + F.col("c_high") - unequal >= 2 * _least_overlap("n", "c_high", num, den), F.lit(True))
+    asks = asks.filter(able & F.expr("label <> c and (size, label) < (c_size, c)")).select("node", "n", "c", F.col("c_entries").alias("entries")).distinct()
+    blocks = F.ceil(F.col("entries") / MEMBER_ENTRIES).cast("int")
+    asks = scratch.keep(asks.select("node", "n", "c", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")), "asks")
+    wanted = asks.groupBy("c", "block").agg(F.ceil(F.sum("n") / PROBE_ENTRIES).cast("int").alias("parts"))
     member = comps.join(sizes, "c").select("node", "cap", "c", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    member = member.join(wanted, ["c", "block"]).select("node", "cap", "c", "block", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    member = member.join(wanted, ["c", "block"]).select("node", "cap", "c", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     probe = asks.join(wanted, ["c", "block"]).select("node", "c", "block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     probe = probe.join(comps.select("node", "cap"), "node")
-    bins = max(16, spark_partitions(docs) * 4)
+    scratch.release()
+    bins = max(16, spark_partitions(docs), int((asks.agg(F.sum("n")).first()[0] or 0) // BIN_ENTRIES) * 4)
     bin_of = F.pmod(F.xxhash64("c", "block", "part"), F.lit(bins)).cast("int").alias("bin")
     grams = nodes.select("node", "grams")
     probes = probe.join(grams, "node").select(bin_of, "c", "block", "part", "node", "cap", "grams")
@@ -293,5 +314,6 @@ def spark_partitions(df: DataFrame) -> int:
 def drop_near_copies(documents: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id; all columns stay."""
     found = jaccard_components(documents, scratch, id_col, text_col)
-    gone = scratch.keep(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return documents.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("gone_id"), "left_anti")
+    gone_id = free_name(documents, "gone_id")
+    gone = scratch.keep(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
+    return documents.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col(gone_id), "left_anti")
