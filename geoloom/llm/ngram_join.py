@@ -14,8 +14,9 @@ transpose, computed in blocks and only where size bounds leave room:
    members to one leader (linear, not all pairs), with exact overlap counts.
 4. *Blocked product for the rest.* A class and a component that meet in a list
    and are not connected yet are multiplied block by block (``MEMBER_ENTRIES`` entries of
-   the component at a time), so every remaining pair is decided exactly;
-   only links leave a block. The smaller component probes the larger one.
+   the component at a time) on parity bitmaps, whose unequal bits bound the
+   overlap from above; the few pairs that are left are decided by their exact
+   overlap. The smaller component probes the larger one.
 
 Sets and overlaps use 64-bit shingle hashes, classes 128-bit ones. Every pair
 of different texts that links is connected in the result; nothing is capped.
@@ -72,12 +73,17 @@ _SHIPPED = pa.schema([("g", pa.int64()), ("block", pa.int64()), ("a", pa.binary(
 
 
 #: Bits of the parity bitmap that bounds an overlap: sets that differ in d elements differ in at most d bits.
-BITS = 256
+BITS = 2048
+
+
+#: Words of the folded bitmap, and words of the full one that each of them stands for.
+FOLDED = 4
+FOLD = BITS // 64 // FOLDED
 
 
 def parity_bits(values: np.ndarray) -> np.ndarray:
     """The parity of the number of elements by their highest bits, as 64-bit words."""
-    counts = np.bincount((values >> np.uint64(56)).astype(np.int64), minlength=BITS)
+    counts = np.bincount((values >> np.uint64(53)).astype(np.int64), minlength=BITS)
     return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
 
 
@@ -189,42 +195,26 @@ def _least_overlap(x: str, y: str, num: int, den: int):
 
 
 def _product(num: int, den: int):
-    """Links between the probes and the members of one bin of blocks."""
+    """Pairs of a probe and a member of one bin of blocks that sizes, shared counts and bitmaps leave room for."""
 
     def run(key, probes: pa.Table, members: pa.Table) -> pa.Table:
         out_a, out_b = [], []
-        mine: dict[tuple, list[int]] = {}
-        for i, unit in enumerate(zip(*(members.column(c).to_pylist() for c in ("c", "block", "part")), strict=True)):
-            mine.setdefault(unit, []).append(i)
-        asks: dict[tuple, list[int]] = {}
-        for i, unit in enumerate(zip(*(probes.column(c).to_pylist() for c in ("c", "block", "part")), strict=True)):
-            asks.setdefault(unit, []).append(i)
-        m_id, m_cap = members.column("node").to_numpy(), members.column("cap").to_numpy()
-        p_id, p_cap = probes.column("node").to_numpy(), probes.column("cap").to_numpy()
-        m_sets, p_sets = members.column("grams").combine_chunks(), probes.column("grams").combine_chunks()
-        for unit, rows in asks.items():
-            own = np.array(mine.get(unit, []), dtype=np.int64)
-            if not len(own):
-                continue
-            sets = [m_sets[int(i)].values.to_numpy() for i in own]
-            sizes = np.array([len(s) for s in sets])
-            flat = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(own)), sizes)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            for i in rows:
-                grams = p_sets[i].values.to_numpy()
-                least = -(-num * (sizes + len(grams)) // (num + den))
-                if not (fit := (np.minimum(m_cap[own], p_cap[i]) >= least)).any():
-                    continue
-                lo, hi = np.searchsorted(flat, grams, "left"), np.searchsorted(flat, grams, "right")
-                met = hi - lo
-                total = int(met.sum())
-                hits = owner[np.repeat(lo - np.cumsum(met) + met, met) + np.arange(total)]
-                overlap = np.bincount(hits, minlength=len(own))
-                for j in own[fit & (overlap >= least)]:
-                    out_a.append(int(p_id[i]))
-                    out_b.append(int(m_id[j]))
+        units: list[dict[tuple, list[int]]] = [{}, {}]
+        for found, table in zip(units, (members, probes), strict=True):
+            for i, unit in enumerate(zip(*(table.column(c).to_pylist() for c in ("c", "block", "part")), strict=True)):
+                found.setdefault(unit, []).append(i)
+        node, cap, n = ([t.column(c).to_numpy() for t in (members, probes)] for c in ("node", "cap", "n"))
+        bits = [t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64) for t in (members, probes)]
+        for unit, rows in units[1].items():
+            own = np.array(units[0].get(unit, []), dtype=np.int64)
+            for i in rows if len(own) else ():
+                total = n[0][own].astype(np.int64) + int(n[1][i])
+                least = -(-num * total // (num + den))
+                unequal = np.bitwise_count(bits[0][own] ^ bits[1][i]).sum(axis=1, dtype=np.int64)
+                fit = (np.minimum(cap[0][own], cap[1][i]) >= least) & (total - unequal >= 2 * least)
+                for j in own[fit]:
+                    out_a.append(int(node[1][i]))
+                    out_b.append(int(node[0][j]))
         return pa.Table.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return run
@@ -260,8 +250,8 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, id_col: str = "do
     left = nodes.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
     right = nodes.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
     overlap = F.size(F.array_intersect("ga", "gb"))
-    linked = stars.join(left, "a").join(right, "b").filter(overlap * (num + den) >= num * (F.size("ga") + F.size("gb"))).select("a", "b")
-    links = scratch.keep(linked, "links")
+    verified = lambda pairs: pairs.join(left, "a").join(right, "b").filter(overlap * (num + den) >= num * (F.size("ga") + F.size("gb"))).select("a", "b")
+    links = scratch.keep(verified(stars), "links")
     labels = connected(links, scratch, "cc-stars")
 
     # What a member of a list can still overlap with another one there, whatever comes later in the order.
@@ -270,7 +260,9 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, id_col: str = "do
     comps = scratch.keep(nodes.select("node", "cap", "n").join(labels, "node", "left").select("node", "cap", "n", F.coalesce("label", "node").alias("c")), "comps")
     sizes = comps.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("entries"))
     open_lists = known.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h")
-    bits = nodes.select("node", "bits")
+    # In the lists the bitmap is folded to four words: parities add up, and unequal bits can only become fewer.
+    fold = lambda k: F.aggregate(F.slice("bits", F.lit(k * FOLD + 1), F.lit(FOLD)), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+    bits = nodes.select("node", F.array(*(fold(k) for k in range(FOLDED))).alias("bits"))
     sized = scratch.keep(known.join(open_lists, "h").join(sizes.withColumnRenamed("c", "label"), "label").join(bits, "node"), "meets")
     present = sized.groupBy("h", "label", "size", "entries").agg(F.max("reach").alias("c_reach"), F.min("n").alias("c_low"), F.max("n").alias("c_high"), F.min(F.when(F.col("size") == 1, F.col("bits"))).alias("c_bits"))
     present = present.select("h", F.col("label").alias("c"), F.col("size").alias("c_size"), F.col("entries").alias("c_entries"), "c_reach", "c_low", "c_high", "c_bits")
@@ -278,24 +270,25 @@ def jaccard_components(documents: DataFrame, scratch: Scratch, id_col: str = "do
     asks = sized.join(present, "h").withColumn("c_low", F.greatest("c_low", F.ceil(F.lit(num) * F.col("n") / F.lit(den))))
     able = (F.least("reach", "c_reach") >= _least_overlap("n", "c_low", num, den)) & (F.col("c_low") <= F.col("c_high"))
     # Against a single class the bitmaps bound the overlap: unequal bits are elements of one set only.
-    unequal = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("c_bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    unequal = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("c_bits")[i])) for i in range(FOLDED)), F.lit(0))
     able = able & F.coalesce(F.col("n") + F.col("c_high") - unequal >= 2 * _least_overlap("n", "c_high", num, den), F.lit(True))
     asks = asks.filter(able & F.expr("label <> c and (size, label) < (c_size, c)")).select("node", "n", "c", F.col("c_entries").alias("entries")).distinct()
     blocks = F.ceil(F.col("entries") / MEMBER_ENTRIES).cast("int")
     asks = scratch.keep(asks.select("node", "n", "c", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")), "asks")
     wanted = asks.groupBy("c", "block").agg(F.ceil(F.sum("n") / PROBE_ENTRIES).cast("int").alias("parts"))
-    member = comps.join(sizes, "c").select("node", "cap", "c", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    member = member.join(wanted, ["c", "block"]).select("node", "cap", "c", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    member = comps.join(sizes, "c").select("node", "cap", "n", "c", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    member = member.join(wanted, ["c", "block"]).select("node", "cap", "n", "c", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     probe = asks.join(wanted, ["c", "block"]).select("node", "c", "block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    probe = probe.join(comps.select("node", "cap"), "node")
+    probe = probe.join(comps.select("node", "cap", "n"), "node")
     scratch.release()
     bins = max(16, spark_partitions(docs), int((asks.agg(F.sum("n")).first()[0] or 0) // BIN_ENTRIES) * 4)
     bin_of = F.pmod(F.xxhash64("c", "block", "part"), F.lit(bins)).cast("int").alias("bin")
-    grams = nodes.select("node", "grams")
-    probes = probe.join(grams, "node").select(bin_of, "c", "block", "part", "node", "cap", "grams")
-    members = member.join(grams, "node").select(bin_of, "c", "block", "part", "node", "cap", "grams")
+    words = nodes.select("node", "bits")
+    probes = probe.join(words, "node").select(bin_of, "c", "block", "part", "node", "cap", "n", "bits")
+    members = member.join(words, "node").select(bin_of, "c", "block", "part", "node", "cap", "n", "bits")
     probes, members = probes.toDF(*probes.columns), members.toDF(*members.columns)
-    more = scratch.keep(probes.groupBy("bin").cogroup(members.groupBy("bin")).applyInArrow(_product(num, den), "a long, b long"), "more")
+    close = scratch.keep(probes.groupBy("bin").cogroup(members.groupBy("bin")).applyInArrow(_product(num, den), "a long, b long"), "close")
+    more = scratch.keep(verified(close), "more")
     if more.limit(1).count():
         labels = connected(links.union(more), scratch, "cc-all")
 
