@@ -38,7 +38,7 @@ EDGE_BEFORE, EDGE_AFTER = rb"(?<![0-9a-z\x80-\xff])", rb"(?![0-9a-z\x80-\xff])"
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` is run where ``keyword`` occurs; higher ``priority`` wins overlaps; ``weight`` is the confidence."""
+    """``pattern`` is run where ``keyword`` occurs, which every match must hold (one word of a phrase, as anything may stand between words); higher ``priority`` wins overlaps; ``weight`` is the confidence."""
 
     label: str
     keyword: bytes
@@ -77,10 +77,10 @@ VERSIONED = (
 CC = (("by", "attribution"), ("by-sa", "attribution sharealike"), ("by-sa", "attribution share alike"), ("by-nc", "attribution noncommercial"), ("by-nc", "attribution non commercial"), ("by-nd", "attribution noderivatives"), ("by-nd", "attribution noderivs"), ("by-nc-sa", "attribution noncommercial sharealike"), ("by-nc-sa", "attribution non commercial share alike"), ("by-nc-nd", "attribution noncommercial noderivatives"), ("by-nc-nd", "attribution noncommercial noderivs"))
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 PLAIN = (
-    ("mit", "mit license", b"mit", 40, 0.9), ("mit", "the mit licence", b"mit", 40, 0.9), ("mit", "permission is hereby granted free of charge to any person obtaining a copy", b"hereby granted", 60, 1.0), ("mit", "licensed under the? mit", b"mit", 41, 0.95), ("mit", "opensource org licenses mit", b"opensource.org", 50, 1.0), ("mit", "spdx license identifier mit", b"spdx", 70, 1.0),
+    ("mit", "mit license", b"mit", 40, 0.9), ("mit", "the mit licence", b"mit", 40, 0.9), ("mit", "permission is hereby granted free of charge to any person obtaining a copy", b"granted", 60, 1.0), ("mit", "licensed under the? mit", b"mit", 41, 0.95), ("mit", "opensource org licenses mit", b"opensource", 50, 1.0), ("mit", "spdx license identifier mit", b"spdx", 70, 1.0),
     ("bsd-2-clause", "bsd 2 clause", b"bsd", 45, 0.95), ("bsd-3-clause", "bsd 3 clause", b"bsd", 45, 0.95), ("bsd-4-clause", "bsd 4 clause", b"bsd", 45, 0.95), ("bsd-2-clause", "simplified bsd license", b"bsd", 45, 0.9), ("bsd-2-clause", "freebsd license", b"bsd", 44, 0.9), ("bsd-3-clause", "new bsd license", b"bsd", 45, 0.9), ("bsd-3-clause", "revised bsd license", b"bsd", 45, 0.9), ("bsd-3-clause", "modified bsd license", b"bsd", 45, 0.9), ("bsd-4-clause", "original bsd license", b"bsd", 45, 0.9), ("bsd", "bsd license", b"bsd", 30, 0.7), ("bsd", "bsd style license", b"bsd", 31, 0.7), ("bsd-0-clause", "zero clause bsd", b"bsd", 45, 0.95),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", b"redistribution and use", 55, 1.0), ("isc", "isc license", b"isc", 40, 0.9), ("isc", "permission to use copy modify and or distribute this software for any purpose", b"permission to use", 60, 1.0), ("zlib", "zlib license", b"zlib", 40, 0.9), ("zlib", "zlib libpng license", b"zlib", 41, 0.95), ("unlicense", "this is free and unencumbered software released into the public domain", b"unencumbered", 60, 1.0), ("unlicense", "the unlicense", b"unlicense", 40, 0.9), ("wtfpl", "do what the fuck you want to public license", b"want to public", 60, 1.0), ("wtfpl", "wtfpl", b"wtfpl", 40, 0.9),
-    ("cc0", "cc0", b"cc0", 40, 0.9), ("cc0", "cc zero", b"cc", 40, 0.8), ("cc0", "creativecommons org publicdomain zero", b"creativecommons", 60, 1.0), ("public-domain", "released into the public domain", b"public domain", 45, 0.9), ("public-domain", "in the public domain", b"public domain", 30, 0.6), ("public-domain", "dedicated to the public domain", b"public domain", 45, 0.9), ("python", "python software foundation license", b"python", 45, 0.95), ("openssl", "openssl license", b"openssl", 45, 0.9), ("x11", "x11 license", b"x11", 45, 0.9), ("beerware", "beer ware license", b"beer", 45, 0.9), ("json", "the software shall be used for good not evil", b"not evil", 60, 1.0), ("all-rights-reserved", "all rights reserved", b"rights reserved", 20, 0.5), ("proprietary", "proprietary and confidential", b"proprietary", 40, 0.8), ("cc", "creative commons license", b"creative commons", 20, 0.6), ("gpl", "gnu general public license", b"general public", 30, 0.8), ("gpl", "gnu gpl", b"gpl", 30, 0.8), ("lgpl", "gnu lgpl", b"lgpl", 30, 0.8), ("apache", "apache license", b"apache", 30, 0.8), ("cc-by", "cc by", b"cc", 25, 0.8),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", b"redistribution", 55, 1.0), ("isc", "isc license", b"isc", 40, 0.9), ("isc", "permission to use copy modify and or distribute this software for any purpose", b"permission", 60, 1.0), ("zlib", "zlib license", b"zlib", 40, 0.9), ("zlib", "zlib libpng license", b"zlib", 41, 0.95), ("unlicense", "this is free and unencumbered software released into the public domain", b"unencumbered", 60, 1.0), ("unlicense", "the unlicense", b"unlicense", 40, 0.9), ("wtfpl", "do what the fuck you want to public license", b"want", 60, 1.0), ("wtfpl", "wtfpl", b"wtfpl", 40, 0.9),
+    ("cc0", "cc0", b"cc0", 40, 0.9), ("cc0", "cc zero", b"cc", 40, 0.8), ("cc0", "creativecommons org publicdomain zero", b"creativecommons", 60, 1.0), ("public-domain", "released into the public domain", b"domain", 45, 0.9), ("public-domain", "in the public domain", b"domain", 30, 0.6), ("public-domain", "dedicated to the public domain", b"domain", 45, 0.9), ("python", "python software foundation license", b"python", 45, 0.95), ("openssl", "openssl license", b"openssl", 45, 0.9), ("x11", "x11 license", b"x11", 45, 0.9), ("beerware", "beer ware license", b"beer", 45, 0.9), ("json", "the software shall be used for good not evil", b"evil", 60, 1.0), ("all-rights-reserved", "all rights reserved", b"reserved", 20, 0.5), ("proprietary", "proprietary and confidential", b"proprietary", 40, 0.8), ("cc", "creative commons license", b"creative", 20, 0.6), ("gpl", "gnu general public license", b"gnu", 30, 0.8), ("gpl", "gnu gpl", b"gpl", 30, 0.8), ("lgpl", "gnu lgpl", b"lgpl", 30, 0.8), ("apache", "apache license", b"apache", 30, 0.8), ("cc-by", "cc by", b"cc", 25, 0.8),
 )
 
 

@@ -265,6 +265,17 @@ def test_license_rules(text, label):
     assert everything == license_rules.detections(low)  # the keyword filter loses nothing
 
 
+@pytest.mark.parametrize("gap", [b" ", b"  ", b"\n", b"\n * ", b"\r\n# ", b"\t", b", ", b"-"])
+def test_license_keywords_lose_nothing_whatever_stands_between_words(gap):
+    for _, text, _, _, _ in license_rules.PLAIN:
+        low = gap.join(text.replace("?", "").encode().split())
+        everything = license_rules.resolve([(m.start(), m.end(), i) for i, r in enumerate(license_rules.rules()) for m in r.pattern.finditer(low)])
+        assert everything and license_rules.detections(low) == everything, text
+        data = np.frombuffer(low, dtype=np.uint8)
+        ((*_, found),) = license_rules._scan_slice(data, np.array([0, len(data)]))
+        assert [(f["start"], f["end"]) for f in found] == [(s, e) for s, e, _ in everything], text
+
+
 def test_license_rules_are_many_and_ordered():
     assert len(license_rules.rules()) >= 300
     kept = license_rules.resolve([(0, 10, 0), (2, 5, 1), (8, 14, 2)])
