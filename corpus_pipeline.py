@@ -32,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack.piece_table(pack.packed_pieces(docs, Scratch(spark, "packing"), tokenizer_path("byte_bpe_50k.json")))
+    return pack.piece_table(pack.packed_pieces(docs, Scratch(spark, "packing"), tokenizer_path("byte_bpe_50k.json"), special=True))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -10,7 +10,10 @@ can be short.
 Whole documents are tokenised. Pre-tokens are found by vectorised byte scans,
 each distinct pre-token is encoded once per worker by the tokenizer, and
 documents with a construct outside the scan's rules go to the tokenizer as
-they are; the ids are those of the tokenizer in every case.
+they are; the ids are those of the tokenizer in every case. With ``special``,
+as the queries have it, that is the tokenizer as it is dealt: a document that
+holds the text of an added token (<|endoftext|>) goes to it whole and gets that
+token's id. Without, such text is encoded like any other.
 
 Defined cases: null and empty texts are the end id alone; repeated rows are
 packed as often as they occur; a null doc_id is kept; an empty table gives no
@@ -51,17 +54,19 @@ def _classes() -> np.ndarray:
     return _STATE["classes"]
 
 
-def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pretokens(data: np.ndarray, offsets: np.ndarray, added: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte offset of every pre-token's start and the total, the first of each document, and whether a document needs the tokenizer itself.
 
     The rules are those of the byte-level pattern: a run of letters, of
     numbers or of other signs with one blank before it, or white space, whose
     last blank goes to a following run. A clitic apostrophe (a run of other
-    signs that begins with ' before a letter) is left to the tokenizer.
+    signs that begins with ' before a letter) and the text of an ``added`` token
+    are left to the tokenizer.
     """
     lead = (data & 0xC0) != 0x80
     at = np.flatnonzero(lead)
-    cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+    raw = data.tobytes()
+    cp = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
     kind = _classes()[cp]
     n = len(cp)
     first_cp = np.searchsorted(at, offsets)
@@ -86,25 +91,32 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     slow = np.zeros(len(offsets) - 1, dtype=bool)
     if len(special):
         slow[np.searchsorted(first_cp, special, side="right") - 1] = True
+    for token in added:
+        hit = raw.find(token)
+        while hit >= 0:
+            d = int(np.searchsorted(offsets, hit, side="right")) - 1
+            slow[d] = True
+            hit = raw.find(token, int(offsets[d + 1]))
     idx = np.flatnonzero(start)
     return np.append(at[idx], len(data)), np.searchsorted(idx, first_cp), slow
 
 
-def _tokenizer(path: str):
-    if _STATE.get("path") != path:
+def _tokenizer(path: str, special: bool):
+    if _STATE.get("path") != (path, special):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _STATE.update(path=path, tokenizer=t)
+        t.encode_special_tokens = not special
+        added = tuple(x.content.encode() for x in t.get_added_tokens_decoder().values() if special or not x.special)
+        _STATE.update(path=(path, special), tokenizer=t, added=added)
     return _STATE["tokenizer"]
 
 
-def _encode(path: str, texts: list[str]) -> list[list[int]]:
-    return [e.ids for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+def _encode(path: str, texts: list[str], special: bool) -> list[list[int]]:
+    return [e.ids for e in _tokenizer(path, special).encode_batch(texts, add_special_tokens=False)]
 
 
 class Memo:
@@ -149,16 +161,18 @@ class Memo:
         return self.ids[np.repeat(self.start[slot] - (ends - lengths), lengths) + np.arange(total)], ends
 
 
-def token_ids(column: pa.Array, path: str) -> Iterator[np.ndarray]:
+def token_ids(column: pa.Array, path: str, special: bool = False) -> Iterator[np.ndarray]:
     """The ids of every text of the column, in order."""
-    if _STATE.get("memo_path") != path:
-        _STATE.update(memo=Memo(lambda texts: _encode(path, texts)), memo_path=path)
+    if _STATE.get("memo_path") != (path, special):
+        _STATE.update(memo=Memo(lambda texts: _encode(path, texts, special)), memo_path=(path, special))
     memo: Memo = _STATE["memo"]
+    _tokenizer(path, special)
+    added = _STATE["added"]
     for _, _, data, offsets in ts.slices(column):
         if not len(data):
             yield from (np.zeros(0, dtype=np.uint32) for _ in offsets[1:])
             continue
-        starts, first, slow = pretokens(data, offsets)
+        starts, first, slow = pretokens(data, offsets, added)
         prefix = ts.sums(data)
         hashes, where, which = np.unique(ts.between(prefix, starts[:-1], starts[1:]), return_index=True, return_inverse=True)
         del prefix
@@ -168,17 +182,17 @@ def token_ids(column: pa.Array, path: str) -> Iterator[np.ndarray]:
         cut = np.append(0, ends)[first]
         for d in range(len(offsets) - 1):
             if slow[d]:
-                yield np.array(_encode(path, [raw[offsets[d] : offsets[d + 1]].decode("utf-8")])[0], dtype=np.uint32)
+                yield np.array(_encode(path, [raw[offsets[d] : offsets[d + 1]].decode("utf-8")], special)[0], dtype=np.uint32)
             else:
                 yield flat[cut[d] : cut[d + 1]]
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(path: str, end_id: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = TaskContext.get().partitionId(), 0
         schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
-            ids_of = token_ids(batch.column(1), path)
+            ids_of = token_ids(batch.column(1), path, special)
             for a in range(0, batch.num_rows, 512):
                 rows = min(512, batch.num_rows - a)
                 ids, local, counts = [], [], []
@@ -193,10 +207,10 @@ def _tokenise(path: str, end_id: int):
     return run
 
 
-def packed_pieces(documents: DataFrame, scratch: Scratch, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed_pieces(documents: DataFrame, scratch: Scratch, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
     """Pieces with their ids: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset, from_before, goes_on."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tokens = scratch.keep(docs.mapInArrow(_tokenise(tokenizer, end_id), "doc_id long, part int, local long, doc_tokens long, ids binary"), "tokens")
+    tokens = scratch.keep(docs.mapInArrow(_tokenise(tokenizer, end_id, special), "doc_id long, part int, local long, doc_tokens long, ids binary"), "tokens")
     totals = tokens.groupBy("part").agg(F.max(F.col("local") + F.col("doc_tokens")).alias("total"))
     # One row per partition: the second of the two prefix sums.
     bases = totals.selectExpr("part", "sum(total) over (order by part rows between unbounded preceding and 1 preceding) as base")

@@ -37,7 +37,7 @@ from (select page_id, coalesce(html, '') as h from pages)
 
 
 def op2_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack.packed_pieces(table(spark, sf_dir, "documents"), Scratch(spark, "op2"), tokenizer_path("byte_bpe_50k.json"))
+    pieces = pack.packed_pieces(table(spark, sf_dir, "documents"), Scratch(spark, "op2"), tokenizer_path("byte_bpe_50k.json"), special=True)
     return pack.piece_table(pieces)
 
 

@@ -183,6 +183,21 @@ def test_packing(spark, docs, nothing):
     assert pack.packed_pieces(nothing, Scratch(spark, "t"), path).count() == 0
 
 
+def test_packing_queries_give_the_dealt_tokenizers_ids(spark, tmp_path):
+    import corpus_pipeline
+    from geoloom.llm import queries
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> it's", "<|endof", "text|>", "<|ENDOFTEXT|>", "plain", "", None, "ä\n<|endoftext|>\n ö", "after"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {d: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], dtype="<u4") for d, x in enumerate(texts)}
+    assert 50256 in want[0]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for got in (queries.op2_concat_and_cut(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
+        assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in got.collect()} == {d: (len(x), zlib.crc32(x.tobytes())) for d, x in want.items()}
+
+
 PAGES = f"page_id long, url string, html string, {EXTRA}"
 BIG = "<p>" + "payload, " * 60
 
