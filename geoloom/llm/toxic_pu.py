@@ -43,6 +43,8 @@ THRESHOLD = 0.3
 #: Words that a worker remembers before it starts anew.
 MEMO = 1 << 20
 HALVES = 2
+#: Confirmed documents from which on an n-gram has odds of its own.
+LEAST = 2
 _FOLD_SEED = 11
 
 
@@ -106,7 +108,7 @@ def log_odds(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, prior: float) ->
     weak = 3.0 / max(n_p, 1)
     toxic = prior * np.maximum(share_p - np.sqrt(share_p / max(n_p, 1)), 0.0)
     clean = np.maximum(share_u - prior * share_p, 0.0) + np.sqrt(np.maximum(share_u, 0.0) / max(n_u, 1)) * 0.5 + prior * weak * 0.25
-    return np.where(p >= 2, np.log(toxic + 1e-9) - np.log(clean), -12.0).clip(-8.0, 8.0)
+    return np.where(p >= LEAST, np.log(toxic + 1e-9) - np.log(clean), -12.0).clip(-8.0, 8.0)
 
 
 FEATURES = 6
@@ -224,12 +226,18 @@ def fit(documents: DataFrame, labels: DataFrame, scratch, max_positive: int = MA
     """Counts run on the executors; what comes to the driver is bounded by TABLE and by the two row bounds."""
     rows, prior = training_rows(documents, labels, max_positive, max_unlabelled)
     rows = scratch.keep(rows, "training")
-    counted = rows.mapInArrow(_count, "kind int, half int, gram long, docs long").groupBy("kind", "half", "gram").agg(F.sum("docs").alias("docs")).filter("docs > 1 or gram < 0").toArrow()
+    cells = [(k, h, f"n{k}_{h}") for k in range(2) for h in range(HALVES)]
+    sums = [F.sum(F.when((F.col("kind") == k) & (F.col("half") == h), F.col("docs")).otherwise(0)).alias(c) for k, h, c in cells]
+    # Fewer than LEAST in P over all halves are fewer in each of them: log_odds gives such n-grams its lowest value whatever U holds.
+    confirmed = " + ".join(c for k, _, c in cells if k == 0)
+    counted = rows.mapInArrow(_count, "kind int, half int, gram long, docs long").groupBy("gram").agg(*sums).filter(f"gram < 0 or {confirmed} >= {LEAST}").toArrow()
     table, totals = np.zeros((2, HALVES, TABLE)), np.zeros((2, HALVES), dtype=np.int64)
-    kind, half, gram, docs = (counted.column(c).to_numpy() for c in ("kind", "half", "gram", "docs"))
+    gram = counted.column("gram").to_numpy()
     real = gram >= 0
-    table[kind[real], half[real], gram[real]] = docs[real]
-    totals[kind[~real], half[~real]] = docs[~real]
+    for k, h, c in cells:
+        docs = counted.column(c).to_numpy()
+        table[k, h, gram[real]] = docs[real]
+        totals[k, h] = docs[~real].sum()
     none = np.zeros(FEATURES)
     if not totals[0].sum() or not totals[1].sum():
         return ToxicModel(np.zeros(TABLE, dtype=np.float32), none, none + 1, none, 0.0, empty=True)

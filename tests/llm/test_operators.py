@@ -438,6 +438,22 @@ def test_toxicity_held_out(spark):
     assert toxic_pu.toxicity(docs, flipped, Scratch(spark, "t")).toPandas().set_index("doc_id").score.round(9).equals(got.score.round(9))
 
 
+def test_toxicity_counts_rare_grams_over_both_halves(spark):
+    rows, labelled = toxic_rows(160)
+    rows = [(i, f"{t} rare{i // 16}x" + f" pair{i // 16}z" * (i % 8 == 0)) for i, t in rows]
+    docs, labels = frame(spark, rows), spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
+    training, prior = toxic_pu.training_rows(docs, labels)
+    table, totals = np.zeros((2, 2, toxic_pu.TABLE)), np.zeros((2, 2))
+    for r in training.collect():
+        data = np.frombuffer(r["text"].encode(), dtype=np.uint8)
+        low, starts, ends, _ = toxic_pu._words(data, np.array([0, len(data)]))
+        table[r["kind"], r["half"], np.unique(toxic_pu.word_grams(low, starts, ends)[0])] += 1
+        totals[r["kind"], r["half"]] += 1
+    assert ((table[0] == 1).all(0)).any() and ((table[1] == 1).all(0) & (table[0].sum(0) >= 2)).any()
+    want = toxic_pu.log_odds(table[0].sum(0), table[1].sum(0), totals[0].sum(), totals[1].sum(), prior)
+    assert np.allclose(toxic_pu.fit(docs, labels, Scratch(spark, "t")).odds, want, atol=1e-5)
+
+
 def test_toxicity_awkward(spark, docs, nothing, labels):
     got = toxic_pu.toxicity(docs, labels, Scratch(spark, "t")).collect()
     assert len(got) == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in got)
