@@ -4,7 +4,7 @@ A text is a stream of tokens (runs of letters and digits, runs of other
 signs). Every token stands for itself and for its shape (case, kind of sign,
 whether it repeats the token before, length class); the features are the
 hashed n-grams of both streams, ``BUCKETS`` of them. The target model counts the features of the rows
-labelled good, the raw model those of all rows. The log weight of a text is the
+labelled good, at most ``MAX_TARGET`` of them, the raw model those of all rows. The log weight of a text is the
 sum of its features' log ratios, as in importance sampling from raw to target.
 
 Sampling without replacement in proportion to the weights is a top-k of the log
@@ -15,6 +15,10 @@ sorting all rows in one task.
 k is the number of rows whose log weight reaches ``cut``, which is where the labelled
 rows (training fold only) are told apart best.
 
+Bounds (documented parameters, about as many rows by hash): at most ``MAX_TARGET``
+good rows are counted for the target model, and the cut is placed on at most
+``MAX_CALIBRATION`` labelled rows. Weights and keys cover every row.
+
 Defined cases: null and empty texts have no features and log weight 0; rows
 that repeat draw the same noise; ties at the k-th key are all taken; labels
 that are null are ignored and of repeated ones the largest counts; without good labels all rows are
@@ -205,26 +209,29 @@ def some(rows: DataFrame, limit: int, of: int, seed: int) -> DataFrame:
     return rows if of <= limit else rows.filter(F.pmod(F.xxhash64("label_id", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * limit / of))
 
 
-def fit_and_key(documents: DataFrame, labels: DataFrame, scratch: Scratch, seed: int = SEED, temperature: float = 1.0) -> tuple[DataFrame, Ratio, float]:
-    """The keys of all rows (written), the models' ratio, and the smallest key that is taken."""
+def fit_and_key(documents: DataFrame, labels: DataFrame, scratch: Scratch, seed: int = SEED, temperature: float = 1.0, max_target: int = MAX_TARGET, max_calibration: int = MAX_CALIBRATION) -> tuple[DataFrame, Ratio, float]:
+    """The keys of all rows (written), the models' ratio, and the smallest key that is taken.
+
+    About ``max_target`` good rows at most make the target model, and ``max_calibration`` labelled rows at most place the cut.
+    """
     known = scratch.keep(training_labels(labels), "labels")
     n, n_good = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("quality"), F.lit(0))).first()
-    ratio = fit_ratio(documents, some(known.filter("quality = 1"), MAX_TARGET, n_good, seed).select(F.col("label_id").alias("good_id")))
+    ratio = fit_ratio(documents, some(known.filter("quality = 1"), max_target, n_good, seed).select(F.col("label_id").alias("good_id")))
     keyed = scratch.keep(gumbel_keys(documents, ratio, seed, temperature), "keys")
     if ratio.ratio is None:
         return keyed, ratio, float("-inf")
-    tried = keyed.join(some(known, MAX_CALIBRATION, n, seed + 1), F.col("doc_id") == F.col("label_id")).select("log_weight", "quality").toArrow()
+    tried = keyed.join(some(known, max_calibration, n, seed + 1), F.col("doc_id") == F.col("label_id")).select("log_weight", "quality").toArrow()
     cut = best_cut(tried.column("log_weight").to_numpy(), tried.column("quality").to_numpy() == 1)
     return keyed, ratio, kth_largest(keyed, "gumbel_key", keyed.filter(F.col("log_weight") >= F.lit(cut)).count())
 
 
-def importance_resample(documents: DataFrame, labels: DataFrame, scratch: Scratch, seed: int = SEED, temperature: float = 1.0) -> DataFrame:
+def importance_resample(documents: DataFrame, labels: DataFrame, scratch: Scratch, seed: int = SEED, temperature: float = 1.0, max_target: int = MAX_TARGET, max_calibration: int = MAX_CALIBRATION) -> DataFrame:
     """doc_id, log_weight, gumbel_key, selected of every row."""
-    keyed, _, least = fit_and_key(documents, labels, scratch, seed, temperature)
+    keyed, _, least = fit_and_key(documents, labels, scratch, seed, temperature, max_target, max_calibration)
     return keyed.select("doc_id", "log_weight", "gumbel_key", (F.col("gumbel_key") >= F.lit(least)).alias("selected"))
 
 
-def drop_unselected(documents: DataFrame, labels: DataFrame, scratch: Scratch, seed: int = SEED, temperature: float = 1.0) -> DataFrame:
+def drop_unselected(documents: DataFrame, labels: DataFrame, scratch: Scratch, seed: int = SEED, temperature: float = 1.0, max_target: int = MAX_TARGET, max_calibration: int = MAX_CALIBRATION) -> DataFrame:
     """The documents that resampling selects; all columns stay."""
-    _, ratio, least = fit_and_key(documents, labels, scratch, seed, temperature)
+    _, ratio, least = fit_and_key(documents, labels, scratch, seed, temperature, max_target, max_calibration)
     return take_from(documents, ratio, least, seed, temperature)

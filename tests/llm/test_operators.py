@@ -391,6 +391,16 @@ def test_importance_resampling(spark):
     assert again.selected.equals(again.join(got.set_index("doc_id"), rsuffix="_b").selected_b.reindex(again.index))
 
 
+def test_resampling_bounds_are_parameters(spark):
+    rows, labelled = quality_rows(240)
+    docs, labels = frame(spark, rows), spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
+    fit = lambda **bounds: resample.fit_and_key(docs, labels, Scratch(spark, "t"), **bounds)
+    whole, same, few = fit(), fit(max_target=240, max_calibration=240), fit(max_target=20)
+    assert np.array_equal(whole[1].ratio, same[1].ratio) and whole[2] == same[2]
+    assert not np.array_equal(whole[1].ratio, few[1].ratio)
+    assert fit(max_calibration=0)[2] == float("-inf")
+
+
 def test_resampling_awkward(spark, docs, nothing, labels):
     got = resample.importance_resample(docs, labels, Scratch(spark, "t")).collect()
     assert len(got) == len(AWKWARD)
