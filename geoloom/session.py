@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from collections.abc import Callable
 from pathlib import Path
 
@@ -35,5 +36,10 @@ def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Where written tables and stream checkpoints go: the cluster's shared folder, or a local one in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/geoloom"
+    """Where written tables and stream checkpoints go: the shared folder that the cluster names, a local one if all runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+    return "/tmp/checkpoints/geoloom"
