@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
-Two layers. The base layer finds a few fixed phrases word by word, on hashed words
-of all documents at once. The rule layer has hundreds of regular expressions,
+Two layers. The base layer finds a few fixed phrases word by word, comparing the bytes
+of the words of all documents at once. The rule layer has hundreds of regular expressions,
 made from families, versions and wordings, each with a label, a priority
 and a keyword. Keywords are searched first, over whole slices of text; only rules
 whose keyword a text holds are run on it. Where detections overlap, one that
@@ -156,14 +156,12 @@ def detections(low: bytes, candidates: tuple[int, ...] | None = None) -> list[tu
     return resolve([(m.start(), m.end(), i) for i in sorted(set(candidates)) for m in every[i].pattern.finditer(low)])
 
 
-_WORD_HASH: dict[str, np.ndarray] = {}
-
-
-def _hashes(phrase: str) -> np.ndarray:
-    if phrase not in _WORD_HASH:
-        words = [np.frombuffer(w.encode(), dtype=np.uint8) for w in phrase.split()]
-        _WORD_HASH[phrase] = np.array([ts.between(ts.sums(w), np.array([0]), np.array([len(w)]))[0] for w in words], dtype=np.uint64)
-    return _WORD_HASH[phrase]
+def _places(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: bytes) -> np.ndarray:
+    """The words (by index) that are ``word``, byte by byte."""
+    at = np.flatnonzero(ends - starts == len(word))
+    for k, byte in enumerate(word):
+        at = at[low[starts[at] + k] == byte]
+    return at
 
 
 def _scan_slice(data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
@@ -173,13 +171,11 @@ def _scan_slice(data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
     n = len(offsets) - 1
     base: list[list[tuple[int, str]]] = [[] for _ in range(n)]
     if len(starts):
-        h = ts.between(ts.sums(low), starts, ends)
         for phrase, label in BASE:
-            want = _hashes(phrase)
-            at = np.flatnonzero(h == want[0])
+            want = phrase.encode().split()
+            at = _places(low, starts, ends, want[0])
             for k in range(1, len(want)):
-                at = at[at + k < len(h)]
-                at = at[h[at + k] == want[k]]
+                at = at[np.isin(at + k, _places(low, starts, ends, want[k]), assume_unique=True)]
             doc = np.searchsorted(first, at, side="right") - 1
             for i, d in zip(at.tolist(), doc.tolist(), strict=True):
                 if i + len(want) <= first[d + 1]:

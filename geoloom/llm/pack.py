@@ -34,8 +34,8 @@ from geoloom.llm import textscan as ts
 from geoloom.llm.scratch import Scratch
 
 WINDOW, END_ID = 2048, 1
-#: Distinct pre-tokens that a worker remembers before it starts anew.
-MEMO = 1 << 20
+#: Distinct pre-tokens, and bytes of them, that a worker remembers before it starts anew.
+MEMO, MEMO_BYTES = 1 << 20, 1 << 25
 _STATE: dict = {}
 
 
@@ -120,37 +120,38 @@ def _encode(path: str, texts: list[str], special: bool) -> list[list[int]]:
 
 
 class Memo:
-    """Ids of distinct strings by 64-bit hash, as one ragged array; ``encode`` is asked for new ones."""
+    """Ids of distinct strings by their bytes, as one ragged array; ``encode`` is asked for new ones."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
         self.encode = encode
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.start = np.zeros(1 << 16, dtype=np.int64)
         self.length = np.zeros(1 << 16, dtype=np.int64)
-        self.n = self.used = 0
+        self.n = self.used = self.held = 0
 
-    def slots(self, hashes: np.ndarray, word) -> np.ndarray:
-        """Slot of each hash; ``word(i)`` gives the text of the i-th where it is new."""
-        if self.n + len(hashes) > MEMO and self.n:
+    def slots(self, words: list[bytes]) -> np.ndarray:
+        """Slot of each of the words, which are distinct."""
+        if self.n and (self.n + len(words) > MEMO or self.held > MEMO_BYTES):
             self.clear()
         get = self.slot.get
-        found = [get(h, -1) for h in hashes.tolist()]
+        found = [get(w, -1) for w in words]
         new = [i for i, s in enumerate(found) if s < 0]
         if new:
-            for i, ids in zip(new, self.encode([word(i) for i in new]), strict=True):
+            for i, ids in zip(new, self.encode([words[i].decode("utf-8") for i in new]), strict=True):
                 while self.n >= len(self.start):
                     self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
                 while self.used + len(ids) > len(self.ids):
                     self.ids = np.resize(self.ids, 2 * len(self.ids))
                 self.ids[self.used : self.used + len(ids)] = ids
                 self.start[self.n], self.length[self.n] = self.used, len(ids)
-                found[i] = self.slot[int(hashes[i])] = self.n
+                found[i] = self.slot[words[i]] = self.n
                 self.n += 1
                 self.used += len(ids)
+                self.held += len(words[i])
         return np.array(found, dtype=np.int64)
 
     def gather(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,11 +174,9 @@ def token_ids(column: pa.Array, path: str, special: bool = False) -> Iterator[np
             yield from (np.zeros(0, dtype=np.uint32) for _ in offsets[1:])
             continue
         starts, first, slow = pretokens(data, offsets, added)
-        prefix = ts.sums(data)
-        hashes, where, which = np.unique(ts.between(prefix, starts[:-1], starts[1:]), return_index=True, return_inverse=True)
-        del prefix
+        where, which = ts.distinct(data, starts[:-1], starts[1:])
         raw = data.tobytes()
-        slot = memo.slots(hashes, lambda i, w=where, s=starts, raw=raw: raw[s[w[i]] : s[w[i] + 1]].decode("utf-8"))[which]
+        slot = memo.slots([raw[a:b] for a, b in zip(starts[where].tolist(), starts[where + 1].tolist(), strict=True)])[which]
         flat, ends = memo.gather(slot)
         cut = np.append(0, ends)[first]
         for d in range(len(offsets) - 1):

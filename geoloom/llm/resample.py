@@ -65,7 +65,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     first = np.searchsorted(starts, offsets)
     if not len(starts):
         return np.zeros(0, dtype=np.int64), first
-    itself = ts.between(ts.sums(data), starts, ends)
+    itself = ts.hashes(data, starts, ends)
     upper = np.append(0, np.cumsum(word == 2))
     digit = np.append(0, np.cumsum(word == 3))
     length = ends - starts

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only where the session names no shared folder (unit tests in local mode).
-LOCAL_DEFAULT = "/tmp/checkpoints/geoloom"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or LOCAL_DEFAULT where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
+from geoloom.session import shared_dir
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -24,17 +18,32 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+_owned: list[Scratch] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Removes the folders of this process, as far as its session still runs."""
+    for scratch in _owned:
+        try:
+            scratch.drop()
+        except Exception:  # the session has ended
+            return
+
+
 class Scratch:
     """Parquet tables under one random folder of the shared directory.
 
     ``keep`` writes a frame and reads it back, so later stages restart from
     committed files when an executor is lost; ``drop`` frees the disk of a
-    table whose readers have all been written themselves.
+    table whose readers have all been written themselves. What a query's lazy
+    result still reads goes when the driver's process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _owned.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -43,11 +52,7 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def release(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of finished writes now, not at its next collection."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+    def drop(self, name: str = "") -> None:
+        """Deletes a table, or the whole folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

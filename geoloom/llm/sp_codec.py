@@ -17,7 +17,7 @@ Characters outside the vocabulary become byte pieces. Decoding joins the pieces,
 bytes as bytes, and drops the blank that encoding put in front.
 
 Defined cases: null and empty texts have no ids; U+2581 in a text counts as a blank,
-as for the model; repeated rows give repeated results; an empty table gives no rows; extra
+as for the model, so such a text does not come back and its ``round_trip`` is false; repeated rows give repeated results; an empty table gives no rows; extra
 columns are ignored.
 """
 
@@ -171,11 +171,18 @@ def _unmarked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.frombuffer(b"".join(texts), dtype=np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
 
 
+def _distinct_slots(memo: Memo, words: list[bytes]) -> np.ndarray:
+    """Slots of words that may repeat (an opening word can look like one after a blank)."""
+    place: dict[bytes, int] = {}
+    which = np.array([place.setdefault(w, len(place)) for w in words], dtype=np.int64)
+    return memo.slots(list(place))[which]
+
+
 def encode_column(column: pa.Array, path: str) -> Iterator[tuple[np.ndarray, bytes]]:
-    """(ids, the bytes that they stand for) of every text of the column."""
+    """(ids, the text's own bytes) of every text of the column."""
     _, memo = _vocabulary(path)
-    for _, _, data, offsets in ts.slices(column):
-        data, offsets = _unmarked(data, offsets)
+    for _, _, given, given_offsets in ts.slices(column):
+        data, offsets = _unmarked(given, given_offsets)
         if not len(data):
             yield from ((np.zeros(0, dtype=np.uint32), b"") for _ in offsets[1:])
             continue
@@ -187,19 +194,14 @@ def encode_column(column: pa.Array, path: str) -> Iterator[tuple[np.ndarray, byt
         at = np.flatnonzero(start | first_of_doc)
         ends = np.append(at[1:], len(data))
         opening = first_of_doc[at]
-        h = ts.between(ts.sums(data), at, ends)
-        h[opening] ^= np.uint64(0x5DEECE66D)
-        hashes, where, which = np.unique(h, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-
-        def word(i: int, at=at, ends=ends, where=where, opening=opening, raw=raw) -> str:
-            k = where[i]
-            return (MARK if opening[k] else "") + raw[at[k] : ends[k]].decode("utf-8").replace(" ", MARK)
-
-        flat, stops = memo.gather(memo.slots(hashes, word)[which])
+        where, which = ts.distinct(data, at, ends, opening)
+        raw, mark = data.tobytes(), MARK.encode("utf-8")
+        words = [mark * bool(first) + raw[a:b].replace(b" ", mark) for first, a, b in zip(opening[where].tolist(), at[where].tolist(), ends[where].tolist(), strict=True)]
+        flat, stops = memo.gather(_distinct_slots(memo, words)[which])
+        own = given.tobytes()
         cut = np.append(0, stops)[np.searchsorted(at, offsets)]
         for d in range(len(offsets) - 1):
-            yield flat[cut[d] : cut[d + 1]], raw[offsets[d] : offsets[d + 1]]
+            yield flat[cut[d] : cut[d + 1]], own[given_offsets[d] : given_offsets[d + 1]]
 
 
 def decode(ids: np.ndarray | list[int], path: str) -> bytes:

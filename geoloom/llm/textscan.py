@@ -2,7 +2,8 @@
 
 All functions work on the UTF-8 bytes of many documents at once. ``slices``
 cuts a column into runs of documents of a few MB, so that memory stays bounded
-whatever the batch size; one document is never cut.
+whatever the batch size; one document is never cut. Where a hash alone would
+decide, ``distinct`` and ``same_bytes`` compare the bytes.
 """
 
 from __future__ import annotations
@@ -11,14 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text handled at once (a longer document is handled alone).
 SLICE_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.RandomState(20240607).randint(1, 1 << 62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
+#: Byte ranges from this length on are hashed one by one.
+LONG = 512
+_SEED, _FACTOR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -47,18 +50,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        if size <= 4 * SLICE_BYTES:
-            _powers[base] = have
-    return have[:n]
-
-
 def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of documents; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -93,19 +84,69 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def sums(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ``between`` takes the hash of any byte range."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=out[1:])
-    return out
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position of the data on as one number, zeros after the end."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges; equal bytes give equal hashes wherever they stand.
+
+    Every eight bytes are mixed in by a bijection that is not linear, so no
+    structure of the text makes ranges collide, only chance does.
+    """
+    starts, lengths = np.asarray(starts, dtype=np.int64), np.asarray(ends, dtype=np.int64) - np.asarray(starts, dtype=np.int64)
+    h = lengths.astype(np.uint64) * _FACTOR ^ _SEED
+    if not len(h):
+        return h
+    at = _words(data)
+    long = lengths >= LONG
+    own = np.flatnonzero((lengths > 0) & ~long)
+    done = 0
+    while len(own):
+        left = lengths[own] - done
+        chunk = at[starts[own] + done] & _FIRST[np.minimum(left, 8)]
+        h[own] = mix((h[own] ^ chunk) * _FACTOR + _SEED)
+        own, done = own[left > 8], done + 8
+    for i in np.flatnonzero(long).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]])
+    return h
 
 
-def between(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges; equal bytes give equal hashes wherever they stand."""
-    inverse = _power(_INVERSE, len(prefix))
-    h = (prefix[ends] - prefix[starts]) * inverse[starts]
-    h ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(h)
+def same_bytes(data: np.ndarray, starts: np.ndarray, others: np.ndarray, lengths: np.ndarray) -> bool:
+    """Whether every range of ``lengths`` bytes from ``starts`` equals the one from ``others``."""
+    at = _words(data)
+    own = np.flatnonzero((starts != others) & (lengths > 0) & (lengths < LONG))
+    done = 0
+    while len(own):
+        left = lengths[own] - done
+        if ((at[starts[own] + done] ^ at[others[own] + done]) & _FIRST[np.minimum(left, 8)]).any():
+            return False
+        own, done = own[left > 8], done + 8
+    far = np.flatnonzero((starts != others) & (lengths >= LONG)).tolist()
+    return all(np.array_equal(data[starts[i] : starts[i] + lengths[i]], data[others[i] : others[i] + lengths[i]]) for i in far)
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, mark: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one range of each distinct content, which of them every range is), compared byte by byte.
+
+    ``mark`` (booleans) keeps ranges of equal bytes apart.
+    """
+    lengths = ends - starts
+    h = hashes(data, starts, ends)
+    if mark is not None:
+        h = np.where(mark, mix(h ^ _FACTOR), h)
+    _, where, which = np.unique(h, return_index=True, return_inverse=True)
+    found = where[which]
+    apart = (lengths[found] != lengths).any() or (mark is not None and (mark[found] != mark).any())
+    if apart or not same_bytes(data, starts, starts[found], lengths):
+        seen: dict[tuple, int] = {}
+        names = [(bool(mark is not None and mark[i]), data[a:b].tobytes()) for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True))]
+        which = np.array([seen.setdefault(x, len(seen)) for x in names], dtype=np.int64)
+        where = np.unique(which, return_index=True)[1]
+    return where, which
 
 
 def chained(h: np.ndarray, n: int) -> np.ndarray:
@@ -113,11 +154,10 @@ def chained(h: np.ndarray, n: int) -> np.ndarray:
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(m, dtype=np.uint64)
+    out = np.full(m, n, dtype=np.uint64)
     for k in range(n):
-        out += h[k : k + m] * np.uint64((_BASE * (2 * k + 3)) % (1 << 64) | 1)
-        out ^= out >> np.uint64(29)
-    return mix(out)
+        out = mix((out ^ h[k : k + m]) * _FACTOR + _SEED)
+    return out
 
 
 def by_document(values: np.ndarray, bounds: np.ndarray, ufunc: np.ufunc, empty: float) -> np.ndarray:

@@ -40,7 +40,7 @@ TABLE_BITS = 20
 TABLE = 1 << TABLE_BITS
 GRAMS = (3, 4, 5, 6)
 THRESHOLD = 0.3
-#: Words that a worker remembers before it starts anew.
+#: Words (below ``ts.LONG`` bytes) that a worker remembers before it starts anew.
 MEMO = 1 << 20
 HALVES = 2
 #: Confirmed documents from which on an n-gram has odds of its own.
@@ -62,13 +62,12 @@ def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     inner = np.arange(total) - np.repeat(begins, lengths)
     src = np.repeat(starts, lengths) + inner - 1
     text = np.where(inner == 0, np.uint8(2), np.where(inner == np.repeat(lengths, lengths) - 1, np.uint8(3), data[np.clip(src, 0, max(len(data) - 1, 0))] if len(data) else np.uint8(0)))
-    prefix = ts.sums(text)
-    out, words = [ts.between(prefix, begins, stops)], [np.arange(len(starts))]
+    out, words = [ts.hashes(text, begins, stops)], [np.arange(len(starts))]
     owner = np.repeat(np.arange(len(starts)), lengths)
     left = np.repeat(stops, lengths) - np.arange(total)
     for n in GRAMS:
         at = np.flatnonzero(left >= n)
-        out.append(ts.between(prefix, at, at + n))
+        out.append(ts.hashes(text, at, at + n))
         words.append(owner[at])
     return (np.concatenate(out) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.concatenate(words)
 
@@ -125,24 +124,25 @@ def word_odds(odds: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
     return np.mean([odds[np.minimum(first + k, last)] for k in range(STRONGEST)], axis=0)
 
 
-def describe(data: np.ndarray, offsets: np.ndarray, odds: np.ndarray, memo: dict[int, float]) -> np.ndarray:
+def describe(data: np.ndarray, offsets: np.ndarray, odds: np.ndarray, memo: dict[bytes, float]) -> np.ndarray:
     """One row of features per document: strongest word, odds above three levels, mean of the strongest, length."""
     low, starts, ends, first = _words(data, offsets)
     out = np.zeros((len(offsets) - 1, FEATURES))
     out[:, 0] = -8.0
     if not len(starts):
         return out
-    h, where, which = np.unique(ts.between(ts.sums(low), starts, ends), return_index=True, return_inverse=True)
+    where, which = ts.distinct(low, starts, ends)
     if len(memo) > MEMO:
         memo.clear()
-    get = memo.get
-    value = np.array([get(x, np.nan) for x in h.tolist()])
+    get, raw = memo.get, low.tobytes()
+    own = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+    value = np.array([get(x, np.nan) for x in own])
     new = np.flatnonzero(np.isnan(value))
     if len(new):
         grams, word = word_grams(low, starts[where[new]], ends[where[new]])
         best = word_odds(odds[grams], word, len(new))
         value[new] = best
-        memo.update(zip(h[new].tolist(), best.tolist(), strict=True))
+        memo.update((own[i], x) for i, x in zip(new.tolist(), best.tolist(), strict=True) if len(own[i]) < ts.LONG)
     v = value[which]
     n = np.maximum(first[1:] - first[:-1], 1)
     out[:, 0] = ts.by_document(v, first, np.maximum, -8.0)
@@ -157,7 +157,7 @@ def _described(odds: list[np.ndarray]):
     """Features of the training rows, by the odds of the other half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memos: list[dict[int, float]] = [{} for _ in odds]
+        memos: list[dict[bytes, float]] = [{} for _ in odds]
         for batch in batches:
             halves = np.array(batch.column(1).to_pylist())
             rows = np.zeros((batch.num_rows, FEATURES))
@@ -285,7 +285,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, scratch, threshold: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        memo: dict[int, float] = {}
+        memo: dict[bytes, float] = {}
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for a, b, data, offsets in ts.slices(batch.column(text)):

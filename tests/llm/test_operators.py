@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from geoloom.llm import ann, chunk_dedup, components, html_text, license_rules, ngram_join, pack, resample, sp_codec, textscan, toxic_pu, warc
+from geoloom.llm import ann, chunk_dedup, components, html_text, license_rules, ngram_join, pack, resample, skew, sp_codec, textscan, toxic_pu, warc
 from geoloom.llm.queries import tokenizer_path
 from geoloom.llm.scratch import Scratch
 
@@ -18,6 +18,14 @@ DOCS = f"doc_id long, text string, lang string, {EXTRA}"
 LONG = " ".join(f"w{i % 977}" for i in range(40_000))
 
 
+def thue_morse(n, a="a", b="b"):
+    """Words of two letters on which polynomial hashes collide, and their complements."""
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
+COLLIDING = [thue_morse(n, *ab) for n in (1024, 2048, 4096) for ab in ("ab", "ba")]
+
+
 def lowered(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
@@ -30,6 +38,7 @@ def frame(spark, rows, schema=DOCS):
 AWKWARD = [
     (None, "no id at all"), (1, None), (2, ""), (3, "  \n\t "), (4, LONG), (5, LONG.upper()), (6, "A b C d E"), (7, "a B c d e"), (7, "a B c d e"), (8, "Öl ÖL öl"), (9, "öl öl öl"),
     (10, "one two"), (11, "the MIT License and CC BY, see GNU General Public License"), (12, "▁ it's \U0001f600 <|endoftext|> x"), (13, None), (14, ""), (15, "idiot " * 3), (16, "*** !!! ***"),
+    *((20 + i, w) for i, w in enumerate(COLLIDING)), *((30 + i, f"a b {w} c d e f") for i, w in enumerate(COLLIDING)), (40, " ".join(COLLIDING)),
 ]
 
 
@@ -54,8 +63,23 @@ def test_spans_and_hashes_follow_the_text():
     starts, ends, first = textscan.spans(data, offsets, textscan.NOT_SPACE)
     words = [data[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
     assert words == [b"ab", b"ab", b"xab", b"ab"] and first.tolist() == [0, 2, 2, 2, 3, 4]
-    h = textscan.between(textscan.sums(data), starts, ends)
+    h = textscan.hashes(data, starts, ends)
     assert h[0] == h[1] == h[3] != h[2]
+    where, which = textscan.distinct(data, starts, ends, np.array([True, False, False, True]))
+    assert which[0] == which[3] != which[1] and len(where) == 3 and words[where[which[2]]] == b"xab"
+
+
+def test_distinct_ranges_are_compared_byte_by_byte(monkeypatch):
+    rng = random.Random(1)
+    words = [bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 1, 2, 7, 8, 9, 16, 17, 511, 512, 600]))) for _ in range(300)] * 2
+    data = np.frombuffer(b"".join(words), dtype=np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    for weak in (False, True):
+        if weak:  # every hash collides
+            monkeypatch.setattr(textscan, "hashes", lambda data, starts, ends: np.zeros(len(starts), dtype=np.uint64))
+        where, which = textscan.distinct(data, starts, ends)
+        assert [words[i] for i in where[which]] == words and len(where) == len(set(words))
 
 
 def test_slices_cover_all_rows(monkeypatch):
@@ -84,12 +108,38 @@ def test_exact_groups(spark, docs, nothing):
 
 
 def test_chunks_are_the_text(spark):
-    texts = ["", "abc", LONG, "a, " * 3000, "x" * 10_000, "ä\n. " * 900]
+    texts = ["", "abc", LONG, "a, " * 3000, "x" * 10_000, "ä\n. " * 900, "本文は句読点で分かれる。" * 500, "本文" * 4000, hashlib.sha256(b"x").hexdigest() * 200]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chunk_dedup.chunks(__import__("pyspark").sql.functions.col("t")).alias("c")).collect()
     for r in rows:
         assert "".join(r["c"]) == r["t"] and all(len(c) <= chunk_dedup.MAX_CHUNK for c in r["c"])
 
 
+def test_chunks_follow_the_content(spark):
+    rng = random.Random(5)
+    wide = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) + "。" * (rng.random() < 0.05) for _ in range(6000))
+    code = "".join(rng.choice("0123456789abcdef") for _ in range(9000))
+    F = __import__("pyspark").sql.functions
+    for text in (wide, code, LONG[:20_000]):
+        a, b = (set(r["c"]) for r in spark.createDataFrame([(text,), ("inserted: " + text,)], "t string").select(chunk_dedup.chunks(F.col("t")).alias("c")).collect())
+        assert len(a & b) > 0.6 * len(a)
+
+
+def test_unsound_chunk_names_do_not_decide(spark, docs):
+    F = __import__("pyspark").sql.functions
+    got = chunk_dedup.exact_groups(docs, Scratch(spark, "t"), name=lambda c: F.encode(F.length(c).cast("string"), "UTF-8"))
+    assert sorted(map(tuple, got.collect()), key=str) == exact_expected([r[:2] for r in AWKWARD])
+
+
+@pytest.mark.parametrize("hot", [1, 7, 1000])
+def test_attach(spark, hot, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_KEYS", hot)
+    rows = spark.createDataFrame([(k, i) for k, n in ((0, 50), (1, 5), (2, 1), (3, 1)) for i in range(n)], "k long, i long")
+    facts = spark.createDataFrame([(0, 50, "a"), (1, 5, "b"), (2, 1, "c")], "k long, n long, f string")
+    got = sorted((r["k"], r["i"], r["f"]) for r in skew.attach(rows, facts, "k", "n", 57).collect())
+    assert got == sorted((r["k"], r["i"], {0: "a", 1: "b", 2: "c"}.get(r["k"])) for r in rows.collect())
+    assert skew.attach(rows, facts, "k", "n", 57, "inner").count() == 56
+
+
 def test_drop_copies_keeps_columns(spark, docs):
     kept = chunk_dedup.drop_copies(docs, Scratch(spark, "t"))
     assert kept.columns == docs.columns
@@ -155,6 +205,42 @@ def test_jaccard_components(spark, nothing, tiny, monkeypatch):
         assert ngram_join.jaccard_components(nothing, Scratch(spark, "t")).count() == 0
 
 
+def test_one_shingle_in_every_document(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = []
+    for d in range(2000):
+        if d % 4 == 3:
+            own = rows[-1][1].split()[5:]
+            own[rng.randrange(len(own))] = word()
+        else:
+            own = [word() for _ in range(rng.randrange(30, 45))]
+        rows.append((d, " ".join(["the", "same", "five", "words", "everywhere", *own])))
+    got = ngram_join.jaccard_components(frame(spark, rows).repartition(4), Scratch(spark, "t"))
+    assert sorted(map(tuple, got.collect())) == sorted(near_expected_by_index(rows))
+
+
+def near_expected_by_index(rows, n=5):
+    """As near_expected, for many short texts that share little."""
+    sets = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (t.split() for _, t in rows)]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(max(0, i - 3), i):  # copies are made from the row before only
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                label[i] = label[j]
+    return [(d, len(sets[i]), label[i]) for i, (d, _) in enumerate(rows)]
+
+
+def test_drop_near_copies(spark, nothing):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, text), (3, "quite another text that shares the id of a dropped one"), (1, text + " tail"), (None, text + " end"), (4, ""), (4, ""), (5, None), (6, "a b c d e f")]
+    kept = ngram_join.drop_near_copies(frame(spark, rows), Scratch(spark, "t"))
+    assert kept.columns == nothing.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([r for r in rows if r not in ((3, text), (None, text + " end"))], key=str)
+    assert ngram_join.drop_near_copies(nothing, Scratch(spark, "t")).count() == 0
+
+
 def test_connected_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["label"] for r in components.connected(links, Scratch(spark, "t")).collect()}
@@ -353,7 +439,7 @@ def test_sentencepiece_codec(spark, docs, nothing):
         assert ids.tolist() == model.encode(text or "")
         assert sp_codec.decode(ids, path) == (text or "").replace("▁", " ").encode()
     encoded = sp_codec.encode_documents(docs, path, keep_ids=True).cache()
-    assert encoded.filter("round_trip or doc_id = 12").count() == len(AWKWARD)
+    assert encoded.filter("not round_trip").select("doc_id").collect() == [(12,)]  # it holds U+2581
     back = {(r["doc_id"], r["text"]) for r in sp_codec.decode_documents(encoded, path).collect()}
     assert back == {(d, (t or "").replace("▁", " ")) for d, t in [r[:2] for r in AWKWARD]}
     assert sp_codec.encode_documents(nothing, path).count() == 0
