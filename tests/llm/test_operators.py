@@ -327,11 +327,173 @@ HTML = [
 ]
 
 
+OTHER = "Some other line that stands beside the text, for sale, and is rather long as well."
+PARAGRAPHS, WORDS = f"<p>{LINE}</p>" * 4, " ".join([LINE] * 4)
+HTML += [
+    (f"<body><form action=x><input name=q><label>Name</label><div class=content><h1>T</h1>{PARAGRAPHS}</div></form>", f"T {WORDS}"),
+    (f"<body><form><p>{OTHER}</p><input></form><div class=content>{PARAGRAPHS}</div>", WORDS),
+    *((f"<body><nav><a href=x>M</a></nav><div class='{c}'><h1>T</h1>{PARAGRAPHS}<div class=sidebar><p>{OTHER}</p></div></div>", f"T {WORDS}") for c in ("content sidebar-right", "page-with-sidebar", "post comments-open", "article-body alert-free", "col-content related-topics-enabled", "sidebar-right")),
+    (f"<div class=post><h1>T</h1><div class=entry>{PARAGRAPHS}</div><div class=entry><p>{LINE}</p></div></div>", f"T {WORDS} {LINE}"),
+    (f"<body><div class=wrap><h1>T</h1><div>{PARAGRAPHS}</div><div>{PARAGRAPHS}</div></div><div class='comments'>{PARAGRAPHS}</div>", f"T {WORDS} {WORDS}"),
+    (f"<body><div class=wrap><div class=title><h1>T</h1></div><div class=x>{PARAGRAPHS}</div><ul><li><a href=a>Link one more</a><li><a href=b>Link two</a></ul></div>", f"T {WORDS}"),
+    (f"<article>{PARAGRAPHS}</article><section id=comments><h3>Comments</h3>{PARAGRAPHS}{PARAGRAPHS}</section>", WORDS),
+    (f"<div id=main>{PARAGRAPHS}</div><div id='comments' class='comment-list'>{PARAGRAPHS}{PARAGRAPHS}</div>", WORDS),
+    (f"<div class='entry-meta'>By someone, at some time, in some place.</div><div class='entry-content'>{PARAGRAPHS}</div><div class='post-footer share'>{OTHER}</div>", WORDS),
+    (f"<div class=ad>{OTHER}</div><article><h1>T</h1><p>Too short.</p></article><footer>{OTHER}</footer>", "T Too short."),
+]
+
+
 @pytest.mark.parametrize(("html", "text"), HTML)
 def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+class Node:
+    """An element of a well-formed page for the plain version below."""
+
+    def __init__(self, tag, name="", up=None):
+        self.tag, self.name, self.up, self.kids = tag, name, up, []
+
+    def html(self):
+        inner = "".join(k if isinstance(k, str) else k.html() for k in self.kids)
+        return f"<{self.tag} class='{self.name}'>{inner}</{self.tag}>"
+
+    def nodes(self):
+        yield self
+        for k in self.kids:
+            if not isinstance(k, str):
+                yield from k.nodes()
+
+    def lines(self):
+        """(element, text, characters in links) of the blocks below, in page order; leaves hold one line or one link."""
+        for k in self.kids:
+            if not isinstance(k, str):
+                yield from k.lines()
+            elif self.tag != "a":
+                yield self, k, 0
+            else:
+                yield self.up, k, len(k)
+
+
+def plain_main_text(body):
+    """Tree scoring on a tree of nodes, each figure computed where it is asked for."""
+    out_tags, side = ("nav", "footer", "aside"), {"sidebar": 2, "comments": 2, "ad": 2, "": 0, "content": 0, "x-comments": 1}
+    within = lambda n, tops: any(n is t or within_one(n, t) for t in tops)
+    lines = [x for x in body.lines() if not any(a.tag in out_tags for a in ups(x[0]))]
+    prose = lambda n: sum(len(t) for e, t, k in lines if len(t) >= 25 and 2 * k < len(t) and e.tag[0] != "h" and n in ups(e))
+    gone = []
+    for n in body.nodes():
+        if n is not body and side[n.name] and not (2 * prose(n) > prose(body) and (side[n.name] == 1 or any(e.tag in ("h1", "main") for e in n.nodes()))):
+            gone.append(n)
+    lines = [x for x in lines if not within(x[0], gone)]
+    alive = [n for n in body.nodes() if not within(n, gone)]
+    total = lambda n, of: sum(of(x) for x in lines if n in ups(x[0]))
+    chars, links = (lambda n: total(n, lambda x: len(x[1]))), (lambda n: total(n, lambda x: x[2]))
+    good = lambda n: total(n, lambda x: len(x[1]) if x[0].tag not in ("h1", "h2", "li") and ((len(x[1]) > 80 and x[2] < 0.25 * len(x[1])) or (not x[2] and x[1][-1] in ".!?")) else 0)
+
+    def points(n):
+        found = 0.0
+        for e, t, _ in lines:
+            if len(t) >= 25 and e.tag[0] != "h":
+                c = e if e.tag in ("div", "section", "article") else e.up
+                if n in ups(c):
+                    found += (1 + t.count(",") + min(len(t) // 100, 3)) / 2 ** ups(c).index(n)
+        bonus = {"article": 25, "div": 2, "section": 3, "ul": -3, "li": -3}.get(n.tag, 0) + 5 * (n.name == "content")
+        return (found + bonus) * (1 - links(n) / max(chars(n), 1)) if found else 0.0
+
+    if not lines:
+        return ""
+    best = max(alive, key=lambda n: (points(n), -alive.index(n)))
+    best = next((a for a in ups(best) if a.tag == "article"), best)
+    if points(best) <= 0:
+        best = body
+    keep = [best]
+    for inner in ups(best)[:-1]:
+        outer, heads, seen = inner.up, [], False
+        strict = outer is body or inner.tag == "article"
+        for k in outer.kids:
+            if isinstance(k, str) or k not in alive or not chars(k):
+                continue
+            if k is inner:
+                keep, heads, seen = keep + heads, [], True
+                continue
+            dense = links(k) >= 0.25 * chars(k)
+            if k.tag in ("h1", "h2"):
+                heads += [] if dense else [k]
+                continue
+            joins = points(k) >= max(10.0, 0.2 * points(best))
+            if k.tag == "p":
+                joins = joins or good(k) > 0
+            elif k.tag == "ul":
+                joins = joins or (not strict and not dense and chars(k) >= 25)
+            else:
+                enough = 80 if not strict or k.name == "content" else max(80, good(inner) // 5)
+                title = not seen and not strict and all(e.tag in ("h1", "h2", "div", "section") for e in list(k.nodes())[1:]) and any(e.tag in ("h1", "h2") for e in k.nodes())
+                joins = joins or (not dense if title else not dense and good(k) >= enough)
+            if joins:
+                keep += [*heads, k]
+            heads = heads if not seen else []
+    return " ".join(t for e, t, _ in lines if any(a in keep for a in ups(e)))
+
+
+def ups(n):
+    """An element and those around it, from the inside out."""
+    out = []
+    while n is not None:
+        out.append(n)
+        n = n.up
+    return out
+
+
+def within_one(n, top):
+    return top in ups(n)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_main_text_against_a_plain_version(seed):
+    rng = random.Random(seed)
+    body = Node("body")
+
+    def line():
+        words = [rng.choice(["moss", "lantern,", "winter", "stone,", "paper", "a", "of"]) for _ in range(rng.choice([2, 4, 8, 20, 60]))]
+        return " ".join(words).rstrip(",") + rng.choice([".", "", "!"])
+
+    def grow(n, depth):
+        for _ in range(rng.randrange(1, 5)):
+            tag = rng.choice(["p", "p", "p", "div", "div", "section", "h1", "h2", "ul", "nav", "footer", "article", "aside"] if depth < 4 else ["p", "h2"])
+            k = Node(tag, rng.choice(["", "", "", "content", "sidebar", "comments", "ad", "x-comments"]) if tag in ("div", "section") else "", n)
+            n.kids.append(k)
+            if tag in ("div", "section", "article", "nav", "aside"):
+                grow(k, depth + 1)
+            elif tag == "ul":
+                for _ in range(rng.randrange(1, 4)):
+                    li = Node("li", "", k)
+                    k.kids.append(li)
+                    if rng.random() < 0.5:
+                        a = Node("a", "", li)
+                        a.kids.append(line())
+                        li.kids.append(a)
+                    else:
+                        li.kids.append(line())
+            else:
+                k.kids.append(line())
+
+    grow(body, 0)
+    assert html_text.main_text(body.html()) == plain_main_text(body)
+
+
+@pytest.mark.parametrize("html", ["<div>" * 400_000, "<p><b>" * 150_000, "<div><a href=x>l</a><p>t</p>" * 50_000, "<div><h1>x</h1></div>" * 50_000, "<p class='ad x'>" + "long text, " * 200_000, "<span class=a>" * 150_000])
+def test_main_text_of_very_long_pages_takes_time_in_proportion(html):
+    import time
+
+    took = []
+    for part in (html[: len(html) // 2], html):
+        began = time.process_time()
+        html_text.main_text("<article>" + part + LINE)
+        took.append(time.process_time() - began)
+    assert took[1] < 5 and took[1] < 4 * took[0] + 1
+
+
 def test_extract_rows(spark):
     rows = [(i if i else None, f"u{i}", h) for i, (h, _) in enumerate(HTML)] + [(1, "u1", "")]
     got = html_text.extract(frame(spark, rows, PAGES)).collect()
