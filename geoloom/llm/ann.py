@@ -4,28 +4,37 @@ Fitting looks at a bounded sample: its exact neighbour graph is cut into balance
 parts (a start by capacity-bound centres, then moves that keep neighbours together
 under the same capacity), and a small network learns to tell the part of a vector's
 neighbours from the vector. Every row of the table is then filed under its most
-probable part, and a query visits the most probable parts until ``probes`` of them,
-and at least k candidates, are met. ``probes`` is the smallest number that reaches
-``TARGET`` recall against brute force for held-out sample rows, so hard data is searched wider.
+probable part. A part of more than ``SPLIT`` rows is cut again in the same way, from
+a sample of its own rows, on the executors; so the number of parts grows with the
+table, up to ``MOST_PARTS`` squared. A query visits the most probable parts until
+``probes`` of them, and more than k candidates, are met. ``probes`` is the smallest number
+that reaches ``TARGET`` recall against brute force for held-out sample rows, at each
+level, so hard data is searched wider.
 
 Parts are searched in blocks: (part, block of candidates, chunk of queries) is one
 group of bounded size, so a vector that fills a part with copies is only more
 blocks. Scores are inner products of the original vectors in double precision.
 
-Defined cases: vectors that are null, zero, of another length than most, or that
-hold null or non-finite components take no part, nor do rows without a vec_id; equal
-scores are ranked by vec_id; rows that repeat a vec_id are separate candidates;
-an empty table gives no rows; extra columns are ignored.
+Bounds (documented parameters): ``SAMPLE`` + ``HELD`` rows fit the first network and,
+about, each of the second level. Every row is filed and every query searched.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components
+take no part, nor do rows without a vec_id; vectors of different lengths have no
+inner product, so each length is searched by itself; equal scores are ranked by
+vec_id; rows that repeat a vec_id are separate candidates and separate queries, each
+with ranks of its own; a query without candidates, and an empty table, give no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.scratch import Scratch
@@ -34,7 +43,8 @@ from geoloom.llm.scratch import Scratch
 SAMPLE, HELD = 4096, 256
 NEIGHBOURS, HIDDEN, EPOCHS = 10, 96, 24
 TARGET = 0.96
-MOST_PARTS = 256
+#: Parts that one part is cut into at most, rows above which a part is cut again, rows of a part of the second level.
+MOST_PARTS, SPLIT, LEAF = 256, 1 << 17, 1 << 15
 #: Rows of a block of candidates, of a chunk of queries.
 CANDIDATES, QUERIES = 8192, 8192
 #: Scores this close to the k-th are computed again, in the same order of summation for all.
@@ -51,15 +61,70 @@ class Router:
     b2: np.ndarray
     probes: int
 
+    @property
+    def parts(self) -> int:
+        return self.w2.shape[1]
+
     def order(self, x: np.ndarray, most: int) -> np.ndarray:
         z = np.maximum(unit(x) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
         return np.argmax(z, axis=1)[:, None] if most == 1 else np.argsort(-z, axis=1, kind="stable")[:, :most]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0.0), 1e-300)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+@dataclass
+class Forest:
+    """The first router, and those of the parts that are cut again; leaves are numbered through."""
+
+    root: Router
+    below: dict[int, Router] = field(default_factory=dict)
+
+    def __post_init__(self):
+        widths = [self.below[p].parts if p in self.below else 1 for p in range(self.root.parts)]
+        self.first = np.append(0, np.cumsum(widths))
+
+    @property
+    def leaves(self) -> int:
+        return int(self.first[-1])
+
+    def file(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of every vector."""
+        part = self.root.order(x, 1)[:, 0]
+        leaf = self.first[part]
+        for p, router in self.below.items():
+            own = np.flatnonzero(part == p)
+            if len(own):
+                leaf[own] += router.order(x[own], 1)[:, 0]
+        return leaf
+
+    def visit(self, x: np.ndarray, sizes: np.ndarray, k: int) -> list[list[int]]:
+        """The leaves that every query visits, by the number of rows in each leaf."""
+        out: list[list[int]] = [[] for _ in x]
+        of_part = np.add.reduceat(sizes, self.first[:-1])
+        order, visits = _until(self.root, x, of_part, k)
+        asked: dict[int, list[int]] = {}
+        for i, (o, v) in enumerate(zip(order, visits.tolist(), strict=True)):
+            for p in o[:v].tolist():
+                if p in self.below:
+                    asked.setdefault(p, []).append(i)
+                else:
+                    out[i].append(int(self.first[p]))
+        for p, rows in asked.items():
+            order, visits = _until(self.below[p], x[rows], sizes[self.first[p] : self.first[p + 1]], k)
+            for i, o, v in zip(rows, order, visits.tolist(), strict=True):
+                out[i] += (self.first[p] + o[:v]).tolist()
+        return out
+
+
+def _until(router: Router, x: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts by probability, and how many of them meet ``probes`` and more than k rows."""
+    order = router.order(x, len(sizes))
+    return order, np.minimum(np.maximum(router.probes, (np.cumsum(sizes[order], axis=1) <= k).sum(1) + 1), len(sizes))
+
+
 def _fill(gain: np.ndarray, capacity: int) -> np.ndarray:
     """A part for each row, of the best gain that has room; the most decided rows choose first."""
     n, parts = gain.shape
@@ -131,14 +196,15 @@ def fit(sample: np.ndarray, parts: int, k: int, seed: int = 5) -> Router:
     x = unit(raw)
     similar = x @ x.T
     np.fill_diagonal(similar, -np.inf)
-    near = np.argpartition(-similar, NEIGHBOURS, axis=1)[:, :NEIGHBOURS]
+    neighbours = min(NEIGHBOURS, len(x) - 1)
+    near = np.argpartition(-similar, neighbours - 1, axis=1)[:, :neighbours]
     del similar
     label = cut_graph(x, near, parts, rng)
     target = np.zeros((len(x), parts))
-    np.add.at(target, (np.repeat(np.arange(len(x)), NEIGHBOURS), label[near].ravel()), 1)
+    np.add.at(target, (np.repeat(np.arange(len(x)), neighbours), label[near].ravel()), 1)
     target[np.arange(len(x)), label] += 2
     router = Router(*train_router(x, target / target.sum(1, keepdims=True), rng), parts)
-    top = np.argpartition(-(test @ raw.T), min(k, len(raw) - 1), axis=1)[:, :k]
+    top = np.argpartition(-(test @ raw.T), min(k, len(raw)) - 1, axis=1)[:, :k]
     filed = router.order(raw, 1)[:, 0]
     visited = router.order(test, parts)
     rank = np.argsort(visited, axis=1)  # of each part, for each query
@@ -153,90 +219,127 @@ def _matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
 
 
-def _filed(router: Router, d: int):
+_ROW = "uid long, vec_id long, embedding array<double>"
+
+
+def _filed(forest: Forest, d: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                part = router.order(_matrix(batch.column(1), d), 1)[:, 0]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(part, pa.int32())], ["vec_id", "embedding", "part"])
+                part = forest.file(_matrix(batch.column(2), d))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(part, pa.int32())], ["uid", "vec_id", "embedding", "part"])
 
     return run
 
 
-def _routed(router: Router, d: int, sizes: np.ndarray, k: int):
-    """The parts that a query visits: ``probes`` of them, and on until more than k candidates are there."""
-
+def _routed(forest: Forest, d: int, sizes: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                order = router.order(_matrix(batch.column(1), d), len(sizes))
-                met = np.cumsum(sizes[order], axis=1)
-                visits = np.maximum(router.probes, (met <= k).sum(1) + 1)
-                parts = [o[:v].tolist() for o, v in zip(order, visits.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.int32()))], ["query_id", "embedding", "parts"])
+                parts = forest.visit(_matrix(batch.column(2), d), sizes, k)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(parts, pa.list_(pa.int32()))], ["query", "query_id", "embedding", "parts"])
 
     return run
 
 
-def best_of(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int) -> tuple[list, list, list]:
-    """The k best candidates of every query within one block: query ids, candidate ids, scores."""
-    out_q, out_c, out_s = [], [], []
+def _cut_again(sizes: dict[int, int], d: int, k: int):
+    """The router of one large part from a sample of its rows."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        p = rows.column("part")[0].as_py()
+        x = _matrix(rows.sort_by("uid").column("embedding"), d)
+        router = fit(x[np.random.default_rng(7).permutation(len(x))], min(MOST_PARTS, -(-sizes[p] // LEAF)), k)
+        return pa.Table.from_arrays([pa.array([p], pa.int32()), pa.array([pickle.dumps(router)], pa.binary())], ["part", "router"])
+
+    return run
+
+
+def best_of(queries: np.ndarray, q: np.ndarray, uids: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int) -> tuple[list, list, list, list]:
+    """The k best candidates of every query within one block: query, candidate row, candidate id, score."""
+    out: tuple[list, list, list, list] = ([], [], [], [])
     for a in range(0, len(q), 256):
-        score = q[a : a + 256] @ c.T
-        score[query_ids[a : a + 256][:, None] == ids[None, :]] = -np.inf
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = np.nan_to_num(q[a : a + 256] @ c.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        other = queries[a : a + 256][:, None] != uids[None, :]
+        score[~other] = -np.inf
         floor = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(score), -np.inf)
         for i in range(len(score)):
-            at = np.flatnonzero(score[i] >= floor[i] - BAND * (1 + abs(floor[i]))) if np.isfinite(floor[i]) else np.flatnonzero(np.isfinite(score[i]))
-            exact = (c[at] * q[a + i]).sum(axis=1)
-            order = np.lexsort((ids[at], -exact))[:k]
-            out_q += [int(query_ids[a + i])] * len(order)
-            out_c += ids[at[order]].tolist()
-            out_s += exact[order].tolist()
-    return out_q, out_c, out_s
+            near = floor[i] - BAND * (1 + abs(floor[i])) if np.isfinite(floor[i]) else floor[i]
+            at = np.flatnonzero(other[i] & (score[i] >= near))
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact = np.nan_to_num((c[at] * q[a + i]).sum(axis=1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            order = np.lexsort((uids[at], ids[at], -exact))[:k]
+            for have, more in zip(out, ([int(queries[a + i])] * len(order), uids[at[order]].tolist(), ids[at[order]].tolist(), exact[order].tolist()), strict=True):
+                have += more
+    return out
 
 
 def _searched(d: int, k: int):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        found: tuple[list, list, list] = ([], [], [])
+        found: tuple[list, list, list, list] = ([], [], [], [])
         if queries.num_rows and candidates.num_rows:
-            found = best_of(queries.column("query_id").to_numpy(), _matrix(queries.column("embedding"), d), candidates.column("vec_id").to_numpy(), _matrix(candidates.column("embedding"), d), k)
-        return pa.Table.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
+            q, c = (_matrix(t.column("embedding"), d) for t in (queries, candidates))
+            found = best_of(queries.column("query").to_numpy(), q, candidates.column("uid").to_numpy(), candidates.column("vec_id").to_numpy(), c, k)
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query", "uid", "vec_id", "score"])
 
     return run
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows that take part: vec_id, embedding."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).filter("vec_id is not null and embedding is not null")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id is not null and embedding is not null")
     broken = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.filter(~F.coalesce(broken, F.lit(True)) & F.exists("embedding", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, scratch: Scratch, k: int = 20, every: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``."""
-    rows = usable(vectors)
-    common = rows.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    d, n = (common["d"], common["n"]) if common else (1, 0)
-    rows = rows.filter(F.size("embedding") == d)
-    share = int(min(1.0, (SAMPLE + HELD) / max(n, 1)) * (1 << 20)) + 1
-    sample = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(SAMPLE + HELD).select("embedding").toArrow()
-    parts = min(MOST_PARTS, max(8 if n >= 1024 else 1, round(n**0.5 / 8)))
-    router = fit(_matrix(sample.column(0), d) if sample.num_rows else np.zeros((0, d)), parts, k)
-    filed = scratch.keep(rows.mapInArrow(_filed(router, d), "vec_id long, embedding array<float>, part int"), "filed")
-    sizes = np.zeros(router.w2.shape[1], dtype=np.int64)
-    for r in filed.groupBy("part").count().collect():  # MOST_PARTS rows at most
+def _sampled(rows: DataFrame, share: Column) -> DataFrame:
+    return rows.filter(F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) < share)
+
+
+def plant(rows: DataFrame, n: int, d: int, k: int, scratch: Scratch, name: str) -> tuple[Forest, DataFrame]:
+    """The routers, and all rows with their leaf (written)."""
+    share = F.lit(int(min(1.0, (SAMPLE + HELD) / n) * (1 << 20)) + 1)
+    sample = _sampled(rows, share).orderBy(F.xxhash64("uid", F.lit(1)), "uid").limit(SAMPLE + HELD).select("embedding").toArrow()
+    forest = Forest(fit(_matrix(sample.column(0), d), min(MOST_PARTS, max(2, round(n**0.5 / 8))), k))
+    filed = scratch.keep(rows.mapInArrow(_filed(forest, d), f"{_ROW}, part int"), f"{name}-filed")
+    large = {r["part"]: r["count"] for r in filed.groupBy("part").count().collect() if r["count"] > SPLIT}  # MOST_PARTS rows at most
+    if large:
+        shares = F.create_map(*(F.lit(x) for p, size in large.items() for x in (p, int((1 << 20) * min(1.0, (SAMPLE + HELD) / size)) + 1)))
+        some = _sampled(filed.filter(F.col("part").isin(list(large))), shares[F.col("part")])
+        routers = some.select("uid", "embedding", "part").groupBy("part").applyInArrow(_cut_again(large, d, k), "part int, router binary").collect()
+        forest = Forest(forest.root, {r["part"]: pickle.loads(r["router"]) for r in routers})
+        filed = scratch.keep(rows.mapInArrow(_filed(forest, d), f"{_ROW}, part int"), f"{name}-leaves")
+    return forest, filed
+
+
+def _of_length(rows: DataFrame, n: int, d: int, scratch: Scratch, k: int, every: int) -> DataFrame:
+    """query, query_id, uid, vec_id, score: the best of each block that a query visits, among vectors of one length."""
+    spark = rows.sparkSession
+    forest, filed = plant(rows, n, d, k, scratch, f"d{d}")
+    sizes, asked = np.zeros(forest.leaves, dtype=np.int64), np.zeros(forest.leaves, dtype=np.int64)
+    for r in filed.groupBy("part").count().collect():  # leaves, MOST_PARTS squared at most
         sizes[r["part"]] = r["count"]
-    routed = scratch.keep(filed.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding").mapInArrow(_routed(router, d, sizes, k), "query_id long, embedding array<float>, parts array<int>"), "routed")
-    asked = np.zeros(len(sizes), dtype=np.int64)
+    routed = filed.filter(F.col("vec_id") % every == 0).select("uid", "vec_id", "embedding").mapInArrow(_routed(forest, d, sizes, k), "query long, query_id long, embedding array<double>, parts array<int>")
+    routed = scratch.keep(routed, f"d{d}-routed")
     for r in routed.select(F.explode("parts").alias("part")).groupBy("part").count().collect():
         asked[r["part"]] = r["count"]
-    blocks = F.array(*(F.lit(max(1, -(-int(s) // CANDIDATES))) for s in sizes))
-    chunks = F.array(*(F.lit(max(1, -(-int(s) // QUERIES))) for s in asked))
-    each = lambda counts: F.explode(F.sequence(F.lit(0), F.element_at(counts, F.col("part") + 1) - 1))
-    of = lambda counts, key: F.pmod(F.xxhash64(key), F.element_at(counts, F.col("part") + 1)).cast("int")
-    queries = routed.select("query_id", "embedding", F.explode("parts").alias("part")).withColumn("chunk", of(chunks, "query_id")).withColumn("block", each(blocks))
-    candidates = filed.withColumn("block", of(blocks, "vec_id")).withColumn("chunk", each(chunks))
+    cuts = [(p, max(1, -(-int(s) // CANDIDATES)), max(1, -(-int(a) // QUERIES))) for p, (s, a) in enumerate(zip(sizes, asked, strict=True)) if s and a]
+    table = F.broadcast(spark.createDataFrame(cuts or [(-1, 1, 1)], "part int, blocks int, chunks int"))  # a row per leaf
+    of = lambda count, key: F.pmod(F.xxhash64(key), F.col(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    queries = routed.select("query", "query_id", "embedding", F.explode("parts").alias("part")).join(table, "part").withColumn("chunk", of("chunks", "query")).withColumn("block", each("blocks"))
+    candidates = filed.join(table, "part").withColumn("block", of("blocks", "uid")).withColumn("chunk", each("chunks"))
     keys = ["part", "block", "chunk"]
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(_searched(d, k), "query_id long, vec_id long, score double")
-    rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)").alias("rank")
-    return found.select("query_id", rank, "vec_id", "score").filter(F.col("rank") <= k)
+    queries, candidates = queries.select("query", "embedding", *keys).toDF("query", "embedding", *keys), candidates.select("uid", "vec_id", "embedding", *keys).toDF("uid", "vec_id", "embedding", *keys)
+    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(_searched(d, k), "query long, uid long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.expr("row_number() over (partition by query order by score desc, vec_id, uid)")).filter(F.col("rank") <= k)
+    return ranked.join(routed.select("query", "query_id"), "query").select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, scratch: Scratch, k: int = 20, every: int = 20) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``."""
+    rows = scratch.keep(usable(vectors).withColumn("uid", F.monotonically_increasing_id()).select("uid", "vec_id", "embedding"), "rows")
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in sorted(rows.groupBy(F.size("embedding").alias("d")).count().collect()):  # one row per length
+        out = out.unionByName(_of_length(rows.filter(F.size("embedding") == r["d"]), r["count"], r["d"], scratch, k, every))
+    return out

@@ -548,44 +548,64 @@ def test_license_rules_are_many_and_ordered():
 VECTORS = "vec_id long, embedding array<float>, part string, rank string, score string"
 
 
-def test_nearest_exact_when_small_and_odd_rows(spark):
-    rng = np.random.default_rng(1)
-    v = rng.normal(size=(70, 8)).astype(np.float32)
-    v[3:9] = v[2]
-    rows = [(i, [float(x) for x in v[i]]) for i in range(70)]
-    odd = [(200, None), (220, [0.0] * 8), (240, [1.0] * 7 + [None]), (260, [float("nan")] * 8), (280, [float("inf")] * 8), (300, [1.0] * 3), (None, [1.0] * 8)]
-    got = ann.nearest(frame(spark, rows + odd, VECTORS), Scratch(spark, "t"), k=20).toPandas()
-    assert set(got.query_id) == {0, 20, 40, 60}
-    d = v.astype(np.float64)
-    for q in (0, 20, 40, 60):
+def brute(rows, k=20, every=20):
+    """{query row: [(vec_id, score, row), ...]} of (vec_id, vector) rows of one length."""
+    ids, d = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)
+    out = {}
+    for q in np.flatnonzero(ids % every == 0):
         score = (d * d[q]).sum(1)
-        order = [i for i in np.lexsort((np.arange(70), -score)) if i != q][:20]
-        own = got[got.query_id == q].sort_values("rank")
-        assert own["rank"].tolist() == list(range(1, 21)) and own.vec_id.tolist() == order
-        assert np.allclose(own.score, score[order])
+        out[q] = [(int(ids[i]), float(score[i]), int(i)) for i in np.lexsort((ids, -score)) if i != q][:k]
+    return out
+
+
+def recall(got, want):
+    """Share of the scores that brute force has (equal scores stand for each other), after checks of every row."""
+    hit = total = 0
+    for (i, best), (_, own) in zip(sorted(want.items()), got.groupby("query_id"), strict=True):
+        own = own.sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, len(best) + 1)) and own.vec_id.nunique() == len(own)
+        assert own.score.tolist() == sorted(own.score, reverse=True)
+        hit += (own.score >= best[-1][1] - 1e-12 * abs(best[-1][1])).sum()
+        total += len(best)
+    return hit / total
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered"])
+@pytest.mark.parametrize("n", [30, 70, 900, 5000])
+def test_nearest_recall(spark, n, kind):
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=(n, 12)) if kind == "random" else rng.normal(size=(max(2, n // 60), 12))[rng.integers(max(2, n // 60), size=n)] + 0.3 * rng.normal(size=(n, 12))
+    rows = [(i, [float(x) for x in v[i]]) for i in range(n)]
+    found = recall(ann.nearest(frame(spark, rows, VECTORS.replace("float", "double")), Scratch(spark, "t")).toPandas(), brute(rows))
+    print(f"recall of {n} {kind} vectors: {found:.3f}")
+    assert found >= 0.9
+
+
+def test_nearest_odd_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(20)]
+    rows += [(0, [float(x) for x in rng.normal(size=8)]), (3, rows[3][1]), (40, [1e300] + [0.0] * 7), (60, [5e-324] * 8)]  # repeated ids, doubles beyond floats
+    odd = [(200, None), (220, [0.0] * 8), (240, [1.0] * 7 + [None]), (260, [float("nan")] * 8), (280, [float("inf")] * 8), (None, [1.0] * 8)]
+    short = [(300, [1.0, 2.0, 3.0]), (301, [3.0, 2.0, 1.0]), (320, [7.0])]
+    got = ann.nearest(frame(spark, rows + odd + short, VECTORS.replace("float", "double")), Scratch(spark, "t"), k=30).toPandas()
+    want = brute(rows, 30)
+    expected = sorted([(rows[q][0], r + 1, i, s) for q, best in want.items() for r, (i, s, _) in enumerate(best)] + [(300, 1, 301, 10.0)])
+    assert sorted(map(tuple, got[["query_id", "rank", "vec_id", "score"]].itertuples(index=False))) == expected  # 320 has no candidate
     assert ann.nearest(frame(spark, [], VECTORS), Scratch(spark, "t")).count() == 0
-    few = ann.nearest(frame(spark, rows[:5], VECTORS), Scratch(spark, "t"))
+    few = ann.nearest(frame(spark, [(i, [float(i), 1.0]) for i in range(5)], VECTORS), Scratch(spark, "t"))
     assert few.count() == 4
 
 
-def test_nearest_recall(spark, monkeypatch):
-    monkeypatch.setattr(ann, "CANDIDATES", 300)
-    monkeypatch.setattr(ann, "QUERIES", 40)
+def test_nearest_with_a_hot_vector_and_two_levels(spark, monkeypatch):
+    for name, value in (("CANDIDATES", 300), ("QUERIES", 40), ("SPLIT", 400), ("LEAF", 100)):
+        monkeypatch.setattr(ann, name, value)
     rng = np.random.default_rng(2)
-    v = (rng.normal(size=(30, 16))[rng.integers(30, size=3000)] + 0.4 * rng.normal(size=(3000, 16))).astype(np.float32)
-    v[100:1100] = v[100]  # a third of all rows are one vector
+    v = rng.normal(size=(30, 16))[rng.integers(30, size=3000)] + 0.4 * rng.normal(size=(3000, 16))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    got = ann.nearest(frame(spark, [(i, [float(x) for x in v[i]]) for i in range(3000)], VECTORS), Scratch(spark, "t")).toPandas()
-    d = v.astype(np.float64)
-    hit = total = 0
-    for q in range(0, 3000, 20):
-        score = (d * d[q]).sum(1)
-        order = [i for i in np.lexsort((np.arange(3000), -score)) if i != q][:20]
-        own = set(got[got.query_id == q].vec_id)
-        assert len(own) == 20
-        hit += len(own & set(order))
-        total += 20
-    assert hit / total >= 0.9
+    v[100:1100] = v[100]  # a third of all rows are one vector
+    rows = [(i, [float(x) for x in v[i]]) for i in range(3000)]
+    got = ann.nearest(frame(spark, rows, VECTORS.replace("float", "double")), Scratch(spark, "t")).toPandas()
+    assert recall(got, brute(rows)) >= 0.9
     assert set(got[got.query_id == 120].vec_id) == set(range(100, 121)) - {120}
 
 
