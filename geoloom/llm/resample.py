@@ -2,14 +2,16 @@
 
 A text is a stream of tokens (runs of letters and digits, runs of other
 signs). Every token stands for itself and for its shape (case, kind of sign,
-whether it repeats the token before, length class); the features are the
-hashed n-grams of both streams, ``BUCKETS`` of them. The target model counts the features of the rows
+whether it repeats the token before); the features are the hashed n-grams of
+both streams (tokens up to pairs, shapes up to triples), ``BUCKETS`` of them. The target model counts the features of the rows
 labelled good, at most ``MAX_TARGET`` of them, the raw model those of all rows. The log weight of a text is the
 sum of its features' log ratios, as in importance sampling from raw to target.
 
 Sampling without replacement in proportion to the weights is a top-k of the log
 weight plus Gumbel noise (from a hash of the row, so that a repeated task draws
-the same). The k-th key is found by narrowing a histogram of the keys, never by
+the same). As in published importance resampling the log weight of a text is a sum
+over all its features and the noise has the scale 1 (``temperature``), so chance
+decides between texts of similar weight only. The k-th key is found by narrowing a histogram of the keys, never by
 sorting all rows in one task.
 
 k is the number of rows whose log weight reaches ``cut``, which is where the labelled
@@ -74,14 +76,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     shape = np.select([sign & (length == 1), sign, digs == length, digs > 0, (ups == length) & (length > 1), ups == 1, ups > 1], [data[starts].astype(np.int64) + 10, data[starts].astype(np.int64) + 300, 1, 2, 3, 4, 5], 6)
     same = np.zeros(len(starts), dtype=bool)
     same[1:] = itself[1:] == itself[:-1]
+    same[first[:-1][first[:-1] < first[1:]]] = False  # the document before is no context
     shape = (shape * 2 + same).astype(np.uint64)
     shape = ts.mix(shape * np.uint64(0x9E3779B97F4A7C15))
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     out, owner = [itself, shape], [doc, doc]
-    for n in (2, 3):
-        if len(shape) >= n:
+    for stream, n in ((itself, 2), (shape, 2), (shape, 3)):
+        if len(stream) >= n:
             inside = doc[n - 1 :] == doc[: len(doc) - n + 1]
-            out.append(ts.chained(shape, n)[inside])
+            out.append(ts.chained(stream, n)[inside])
             owner.append(doc[: len(doc) - n + 1][inside])
     own = np.concatenate(owner)
     order = np.argsort(own, kind="stable")
@@ -232,6 +235,10 @@ def importance_resample(documents: DataFrame, labels: DataFrame, scratch: Scratc
 
 
 def drop_unselected(documents: DataFrame, labels: DataFrame, scratch: Scratch, seed: int = SEED, temperature: float = 1.0, max_target: int = MAX_TARGET, max_calibration: int = MAX_CALIBRATION) -> DataFrame:
-    """The documents that resampling selects; all columns stay."""
+    """The documents that resampling selects; all columns stay.
+
+    Null and empty texts have log weight 0; rows that repeat id and text share
+    their fate; without good labels all rows stay; an empty table stays empty.
+    """
     _, ratio, least = fit_and_key(documents, labels, scratch, seed, temperature, max_target, max_calibration)
     return take_from(documents, ratio, least, seed, temperature)

@@ -1,26 +1,32 @@
 """Toxicity by non-negative positive-unlabelled learning (a numpy classifier).
 
-Training sees confirmed toxic texts (P) and texts whose label is hidden (U).
-The risk of a score g is ``pi*R_P(+) + max(0, R_U(-) - pi*R_P(-))``: the
-class prior ``pi`` corrects for the toxic share of U, and the maximum keeps the
+Training sees confirmed toxic texts (P: rows labelled 1) and unlabelled text (U:
+all documents outside the held-out fold, without a look at their labels). Labels of
+0 are never used. The risk of a score g is ``pi*R_P(+) + max(0, R_U(-) - pi*R_P(-))``:
+the class prior ``pi`` corrects for the toxic share of U, and the maximum keeps the
 corrected negative risk from going below zero, which stops a flexible model
 from fitting P by heart (when it falls below, the step goes back along it).
 
+The prior is estimated from P and U alone: at the score where it is smallest, the
+share of U above over the share of P above (with a margin for the size of both
+samples) bounds the share of toxic texts in U.
+
 A text is a bag of words, a word its character n-grams (hashed). Per n-gram
 the documents of P and U that hold it give a shrunken log odds of being toxic;
 a word has the mean odds of its strongest n-grams; a text is described by its strongest
-words and its length. The odds for a training text come from the other half of
-the training texts, so that no text vouches for itself. A linear model on these
+words and its length. The odds for a training text come from the other folds of
+the texts (``FOLDS`` by hash), so that no text vouches for itself. A linear model on these
 features is then trained with the risk above.
 
-Bounds (documented parameters): at most ``MAX_POSITIVE`` confirmed and
-``MAX_UNLABELLED`` hidden rows, chosen by hash, are used for fitting; the n-gram
+Bounds (documented parameters): about ``MAX_POSITIVE`` confirmed rows at most make P,
+and about ``MAX_UNLABELLED`` rows of U at most, chosen by hash, take part in the
+gradient steps; the n-grams of U are counted over all its documents. The n-gram
 table has ``TABLE`` entries. Scoring covers every whole text.
 
 Defined cases: null and empty texts get the score of a text without words;
 labels that are null or repeat count once, the larger one; with no toxic
-training row every score is 0; an empty table gives no rows; extra columns are
-ignored.
+training row every score is 0; an empty table gives no rows; a null doc_id is
+outside the held-out fold; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +48,8 @@ GRAMS = (3, 4, 5, 6)
 THRESHOLD = 0.3
 #: Words (below ``ts.LONG`` bytes) that a worker remembers before it starts anew.
 MEMO = 1 << 20
-HALVES = 2
+#: Parts of the training texts; a text is described by the odds of the others.
+FOLDS = 4
 #: Confirmed documents from which on an n-gram has odds of its own.
 LEAST = 2
 _FOLD_SEED = 11
@@ -78,27 +85,48 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     return low, *ts.spans(low, offsets, ts.ALNUM)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per kind (0 P, 1 U) and half, the number of documents that hold each n-gram, and the number of documents."""
-    counts: dict[tuple[int, int], np.ndarray] = {}
-    docs: dict[tuple[int, int], int] = {}
-    for batch in batches:
-        kinds, halves = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, _, data, offsets in ts.slices(batch.column(2)):
-            low, starts, ends, first = _words(data, offsets)
-            for d in range(len(offsets) - 1):
-                key = (kinds[a + d], halves[a + d])
-                docs[key] = docs.get(key, 0) + 1
-                if key not in counts:
-                    counts[key] = np.zeros(TABLE, dtype=np.int64)
-                if first[d + 1] > first[d]:
-                    s, e = starts[first[d] : first[d + 1]], ends[first[d] : first[d + 1]]
-                    grams, _ = word_grams(low[s[0] : e[-1]], s - s[0], e - s[0])
-                    counts[key][np.unique(grams)] += 1
-    for (kind, half), c in counts.items():
-        at = np.flatnonzero(c)
-        n = len(at) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([half] * n, pa.int32()), pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(c[at], docs[kind, half]), pa.int64())], ["kind", "half", "gram", "docs"])
+def _count(wanted):
+    """Per fold, the number of documents that hold each n-gram (of those ``wanted``, a broadcast table of booleans), and of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = wanted.value if wanted else None
+        counts, docs = np.zeros((FOLDS, TABLE), dtype=np.int64), [0] * FOLDS
+        for batch in batches:
+            folds = batch.column(0).to_pylist()
+            for a, _, data, offsets in ts.slices(batch.column(1)):
+                low, starts, ends, first = _words(data, offsets)
+                where, which = ts.distinct(low, starts, ends)
+                grams, word = word_grams(low, starts[where], ends[where])
+                if mask is not None:
+                    grams, word = grams[mask[grams]], word[mask[grams]]
+                order = np.argsort(word, kind="stable")
+                grams, bounds = grams[order], np.searchsorted(word[order], np.arange(len(where) + 1))
+                sizes = np.diff(bounds)
+                for d in range(len(offsets) - 1):
+                    fold = folds[a + d]
+                    docs[fold] += 1
+                    own = np.unique(which[first[d] : first[d + 1]])
+                    n = sizes[own]
+                    stops = np.cumsum(n)
+                    at = np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(bounds[own] - (stops - n), n)
+                    counts[fold][grams[at]] += 1  # once, however often the document holds it
+        for fold in range(FOLDS):
+            at = np.flatnonzero(counts[fold])
+            n = len(at) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([fold] * n, pa.int32()), pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(counts[fold][at], docs[fold]), pa.int64())], ["fold", "gram", "docs"])
+
+    return run
+
+
+def counted(rows: DataFrame, wanted=None) -> tuple[np.ndarray, np.ndarray]:
+    """Documents by fold and n-gram, and by fold, of (fold, text) rows; FOLDS * TABLE counts at most come to the driver."""
+    found = rows.select("fold", "text").mapInArrow(_count(wanted), "fold int, gram long, docs long").groupBy("fold", "gram").agg(F.sum("docs").alias("docs")).toArrow()
+    table, totals = np.zeros((FOLDS, TABLE)), np.zeros(FOLDS)
+    fold, gram, docs = (found.column(c).to_numpy() for c in ("fold", "gram", "docs"))
+    real = gram >= 0
+    table[fold[real], gram[real]] = docs[real]
+    totals[fold[~real]] = docs[~real]
+    return table, totals
 
 
 def log_odds(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
@@ -144,28 +172,29 @@ def describe(data: np.ndarray, offsets: np.ndarray, odds: np.ndarray, memo: dict
         value[new] = best
         memo.update((own[i], x) for i, x in zip(new.tolist(), best.tolist(), strict=True) if len(own[i]) < ts.LONG)
     v = value[which]
-    n = np.maximum(first[1:] - first[:-1], 1)
+    n = first[1:] - first[:-1]
     out[:, 0] = ts.by_document(v, first, np.maximum, -8.0)
     for k, level in enumerate((0.0, 1.5, 3.0)):
         out[:, 1 + k] = np.log1p(ts.by_document((v > level).astype(np.float64), first, np.add, 0.0))
     out[:, 4] = np.log1p(n)
-    out[:, 5] = np.log1p(1000.0 * ts.by_document(np.maximum(v, 0.0), first, np.add, 0.0) / n)
+    out[:, 5] = np.log1p(1000.0 * ts.by_document(np.maximum(v, 0.0), first, np.add, 0.0) / np.maximum(n, 1))
     return out
 
 
-def _described(odds: list[np.ndarray]):
-    """Features of the training rows, by the odds of the other half."""
+def _described(shared):
+    """Features of the training rows, by the odds of the other folds (broadcast)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odds = shared.value
         memos: list[dict[bytes, float]] = [{} for _ in odds]
         for batch in batches:
-            halves = np.array(batch.column(1).to_pylist())
+            folds = np.array(batch.column(1).to_pylist())
             rows = np.zeros((batch.num_rows, FEATURES))
             for a, b, data, offsets in ts.slices(batch.column(2)):
-                for half, table in enumerate(odds):
-                    own = np.flatnonzero(halves[a:b] == half)
+                for fold, table in enumerate(odds):
+                    own = np.flatnonzero(folds[a:b] == fold)
                     if len(own):
-                        rows[a + own] = describe(data, offsets, table, memos[half])[own]
+                        rows[a + own] = describe(data, offsets, table, memos[fold])[own]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), *(pa.array(rows[:, k]) for k in range(FEATURES))], ["kind", *(f"x{k}" for k in range(FEATURES))])
 
     return run
@@ -181,79 +210,96 @@ class ToxicModel:
     weights: np.ndarray
     bias: float
     empty: bool = False
+    prior: float = 0.0
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.empty:
             return np.zeros(len(features))
-        return 1.0 / (1.0 + np.exp(-np.clip((features - self.mean) / self.scale @ self.weights + self.bias, -30, 30)))
+        # The risk's own decision, a margin of 0, gets the score THRESHOLD.
+        return 1.0 / (1.0 + np.exp(-np.clip((features - self.mean) / self.scale @ self.weights + self.bias + np.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)))
+
 
+def nn_pu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, flag: float = 0.5, steps: int = 1200, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative PU risk (Adam, full batches).
 
-def nn_pu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 3000, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative PU risk with logistic loss (Adam, full batches)."""
-    w, b = np.zeros(positive.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    The first fold of the steps has the logistic loss, which is convex and finds
+    the direction; the second fold has the sigmoid loss, which is bounded, so that
+    a small error of the prior does not weigh more the surer the model gets. To
+    flag a clean text costs ``flag``, to miss a toxic one ``1 - flag``.
+    """
     xp, xu = np.hstack([positive, np.ones((len(positive), 1))]), np.hstack([unlabelled, np.ones((len(unlabelled), 1))])
-    for t in range(1, steps + 1):
-        theta = np.append(w, b)
-        gp, gu = xp @ theta, xu @ theta
-        sp, su = 1 / (1 + np.exp(-np.clip(gp, -30, 30))), 1 / (1 + np.exp(-np.clip(gu, -30, 30)))
-        plus = -prior * ((1 - sp) @ xp) / len(xp)
-        negative = (su @ xu) / len(xu) - prior * (sp @ xp) / len(xp)
-        risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        grad = (plus + negative if risk >= 0 else -negative) + decay * np.append(w, 0.0)
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = theta[:-1], float(theta[-1])
-    return w, b
-
-
-def training_rows(documents: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[DataFrame, float]:
-    """(kind, half, text) of the rows to fit on, and the class prior. A confirmed row is in P with its label and in U without."""
-    seen = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("label_id")) & F.col("toxic").isNotNull())
-    n, k = seen.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    prior = (k or 0) / n if n else 0.0
-    order = F.xxhash64("label_id", F.lit(_FOLD_SEED))
-    part = lambda limit, of: F.pmod(order, F.lit(1 << 20)) < int((1 << 20) * min(1.0, limit / max(of, 1)))
-    picked = seen.select("label_id", (part(max_positive, k or 0) & (F.col("toxic") == 1)).alias("p"), part(max_unlabelled, n or 0).alias("u")).filter("p or u")
-    # About max_positive + max_unlabelled ids at most, hence the broadcast.
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
-    kinds = F.array_compact(F.array(F.when(F.col("p"), F.lit(0)), F.when(F.col("u"), F.lit(1))))
-    half = F.pmod(F.xxhash64("doc_id", F.lit(_FOLD_SEED + 1)), F.lit(HALVES)).cast("int")
-    return rows.select(F.explode(kinds).alias("kind"), half.alias("half"), "text"), prior
+    theta = np.zeros(xp.shape[1])
+    for bounded in (False, True):
+        m, v = np.zeros(len(theta)), np.zeros(len(theta))
+        for t in range(1, steps // 2 + 1):
+            gp, gu = np.clip(xp @ theta, -30, 30), np.clip(xu @ theta, -30, 30)
+            sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
+            if bounded:
+                miss = clean_p = (sp * (1 - sp)) @ xp / len(xp)
+                clean_u = (su * (1 - su)) @ xu / len(xu)
+                risk = su.mean() - prior * sp.mean()
+            else:
+                miss, clean_p, clean_u = (1 - sp) @ xp / len(xp), sp @ xp / len(xp), su @ xu / len(xu)
+                risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+            clean = clean_u - prior * clean_p
+            grad = (flag * clean - (1 - flag) * prior * miss if risk >= 0 else -flag * clean) + decay * np.append(theta[:-1], 0.0)
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+            theta = theta - rate * (1 - 0.9 * t / (steps // 2)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return theta[:-1], float(theta[-1])
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float, doubt: float = 0.1) -> float:
+    """The share of toxic texts in U from scores of P and U: their shares above the cut at which the bound is tightest."""
+    cuts = np.unique(positive)
+    above_p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    above_u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    slack = sum(np.sqrt(np.log(4 / doubt) / (2 * len(x))) for x in (positive, unlabelled))
+    best = np.argmin((above_u + slack) / above_p)
+    return float(np.clip(above_u[best] / above_p[best], least, 0.9))
+
+
+def training_rows(documents: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[DataFrame, DataFrame]:
+    """(kind, fold, text) of P (kind 0) and of the rows of U that take gradient steps (kind 1), and (fold, text) of all of U."""
+    confirmed = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("label_id")) & (F.col("toxic") == 1)).select("label_id")
+    within = lambda key, limit, of: F.pmod(F.xxhash64(key, F.lit(_FOLD_SEED)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, limit / max(of, 1)))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(_FOLD_SEED + 1)), F.lit(FOLDS)).cast("int").alias("fold")
+    open_ = documents.select("doc_id", F.col("text").cast("string").alias("text")).filter(~held_out(F.col("doc_id")))
+    # About max_positive ids at most, hence the broadcast.
+    ids = F.broadcast(confirmed.filter(within("label_id", max_positive, confirmed.count())))
+    p = open_.join(ids, F.col("doc_id") == F.col("label_id"), "left_semi").select(F.lit(0).alias("kind"), fold, "text")
+    u = open_.filter(within("doc_id", max_unlabelled, open_.count())).select(F.lit(1).alias("kind"), fold, "text")
+    return p.unionByName(u), open_.select(fold, "text")
 
 
 def fit(documents: DataFrame, labels: DataFrame, scratch, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> ToxicModel:
     """Counts run on the executors; what comes to the driver is bounded by TABLE and by the two row bounds."""
-    rows, prior = training_rows(documents, labels, max_positive, max_unlabelled)
+    context = documents.sparkSession.sparkContext
+    rows, whole = training_rows(documents, labels, max_positive, max_unlabelled)
     rows = scratch.keep(rows, "training")
-    cells = [(k, h, f"n{k}_{h}") for k in range(2) for h in range(HALVES)]
-    sums = [F.sum(F.when((F.col("kind") == k) & (F.col("half") == h), F.col("docs")).otherwise(0)).alias(c) for k, h, c in cells]
-    # Fewer than LEAST in P over all halves are fewer in each of them: log_odds gives such n-grams its lowest value whatever U holds.
-    confirmed = " + ".join(c for k, _, c in cells if k == 0)
-    counted = rows.mapInArrow(_count, "kind int, half int, gram long, docs long").groupBy("gram").agg(*sums).filter(f"gram < 0 or {confirmed} >= {LEAST}").toArrow()
-    table, totals = np.zeros((2, HALVES, TABLE)), np.zeros((2, HALVES), dtype=np.int64)
-    gram = counted.column("gram").to_numpy()
-    real = gram >= 0
-    for k, h, c in cells:
-        docs = counted.column(c).to_numpy()
-        table[k, h, gram[real]] = docs[real]
-        totals[k, h] = docs[~real].sum()
     none = np.zeros(FEATURES)
-    if not totals[0].sum() or not totals[1].sum():
+    p, n_p = counted(rows.filter("kind = 0"))
+    if not n_p.sum():
         return ToxicModel(np.zeros(TABLE, dtype=np.float32), none, none + 1, none, 0.0, empty=True)
-    others = []
-    for h in range(HALVES):
-        rest = [x for x in range(HALVES) if x != h]
-        others.append(log_odds(table[0][rest].sum(0), table[1][rest].sum(0), totals[0][rest].sum(), totals[1][rest].sum(), prior).astype(np.float32))
-    bc = others
-    frame = rows.mapInArrow(_described(bc), "kind int, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toArrow()
-    x = np.column_stack([frame.column(f"x{k}").to_numpy() for k in range(FEATURES)])
-    is_p = frame.column("kind").to_numpy() == 0
+    # log_odds gives n-grams with fewer than LEAST confirmed documents its lowest value, whatever U holds.
+    u, n_u = counted(whole, context.broadcast(p.sum(0) >= LEAST))
+
+    def frame(prior: float) -> tuple[np.ndarray, np.ndarray]:
+        """Features of the training rows, each by the odds of the other folds, and which of them are P."""
+        others = [[x for x in range(FOLDS) if x != h] for h in range(FOLDS)]
+        odds = [log_odds(p[o].sum(0), u[o].sum(0), n_p[o].sum(), n_u[o].sum(), prior).astype(np.float32) for o in others]
+        found = rows.mapInArrow(_described(context.broadcast(odds)), "kind int, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toArrow()
+        return np.column_stack([found.column(f"x{k}").to_numpy() for k in range(FEATURES)]), found.column("kind").to_numpy() == 0
+
+    least = n_p.sum() / n_u.sum()  # P is part of U
+    x, is_p = frame(least)
+    mean, scale = x[~is_p].mean(0), x[~is_p].std(0) + 1e-6
+    weights, _ = nn_pu_fit((x[is_p] - mean) / scale, (x[~is_p] - mean) / scale, least)
+    prior = class_prior(x[is_p] / scale @ weights, x[~is_p] / scale @ weights, least)
+    x, is_p = frame(prior)
     mean, scale = x[~is_p].mean(0), x[~is_p].std(0) + 1e-6
-    z = (x - mean) / scale
-    weights, bias = nn_pu_fit(z[is_p], z[~is_p], prior)
-    odds = log_odds(table[0].sum(0), table[1].sum(0), totals[0].sum(), totals[1].sum(), prior).astype(np.float32)
-    return ToxicModel(odds, mean, scale, weights, bias)
+    weights, bias = nn_pu_fit((x[is_p] - mean) / scale, (x[~is_p] - mean) / scale, prior, THRESHOLD)
+    odds = log_odds(p.sum(0), u.sum(0), n_p.sum(), n_u.sum(), prior).astype(np.float32)
+    return ToxicModel(odds, mean, scale, weights, bias, prior=prior)
 
 
 _WORKER: dict = {}
@@ -279,7 +325,11 @@ def scores(documents: DataFrame, model: ToxicModel) -> DataFrame:
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, scratch, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score stays below the threshold, with all their columns and without a shuffle."""
+    """The documents whose score stays below the threshold, with all their columns and without a shuffle.
+
+    Null and empty texts are judged as a text without words, repeated rows alike;
+    without toxic training rows all stay; an empty table stays empty.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, scratch))
     text = documents.columns.index("text")
 

@@ -1,6 +1,7 @@
 """Every operator of the subpackage against brute force, and on awkward input."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import pytest
 from geoloom.llm import ann, chunk_dedup, components, html_text, license_rules, ngram_join, pack, resample, skew, sp_codec, textscan, toxic_pu, warc
 from geoloom.llm.queries import tokenizer_path
 from geoloom.llm.scratch import Scratch
+from tests.llm import plain
 
 EXTRA = "kept string, n string, key string, label string, u string, h string, part string, score string, chunk string, component_id string"
 DOCS = f"doc_id long, text string, lang string, {EXTRA}"
@@ -659,6 +661,19 @@ def test_importance_resampling(spark):
     assert again.selected.equals(again.join(got.set_index("doc_id"), rsuffix="_b").selected_b.reindex(again.index))
 
 
+def test_resampling_against_a_plain_version(spark):
+    rows, labelled = quality_rows(260)
+    rows += [(1000 + i, t) for i, t in enumerate([None, "", " \n", COLLIDING[0], COLLIDING[1], "Word word WORD Word 12 12a !! !!", "öl Öl 日本", LONG[:9000]])]
+    docs = frame(spark, rows).repartition(3)
+    labels = spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
+    want = plain.quality_keys(docs, labels)
+    got = {r["doc_id"]: r for r in resample.importance_resample(docs, labels, Scratch(spark, "t")).collect()}
+    assert got.keys() == want.keys()
+    for d, (weight, key, selected) in want.items():
+        assert math.isclose(got[d]["log_weight"], weight, abs_tol=1e-6) and math.isclose(got[d]["gumbel_key"], key, abs_tol=1e-6)
+        assert got[d]["selected"] == selected
+
+
 def test_resampling_bounds_are_parameters(spark):
     rows, labelled = quality_rows(240)
     docs, labels = frame(spark, rows), spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
@@ -716,20 +731,34 @@ def test_toxicity_held_out(spark):
     assert toxic_pu.toxicity(docs, flipped, Scratch(spark, "t")).toPandas().set_index("doc_id").score.round(9).equals(got.score.round(9))
 
 
-def test_toxicity_counts_rare_grams_over_both_halves(spark):
-    rows, labelled = toxic_rows(160)
+@pytest.mark.parametrize("seed", [0, 1])
+def test_toxicity_against_a_plain_version(spark, seed):
+    rows, labelled = toxic_rows(240)
+    rng = random.Random(seed)
     rows = [(i, f"{t} rare{i // 16}x" + f" pair{i // 16}z" * (i % 8 == 0)) for i, t in rows]
-    docs, labels = frame(spark, rows), spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
-    training, prior = toxic_pu.training_rows(docs, labels)
-    table, totals = np.zeros((2, 2, toxic_pu.TABLE)), np.zeros((2, 2))
-    for r in training.collect():
-        data = np.frombuffer(r["text"].encode(), dtype=np.uint8)
-        low, starts, ends, _ = toxic_pu._words(data, np.array([0, len(data)]))
-        table[r["kind"], r["half"], np.unique(toxic_pu.word_grams(low, starts, ends)[0])] += 1
-        totals[r["kind"], r["half"]] += 1
-    assert ((table[0] == 1).all(0)).any() and ((table[1] == 1).all(0) & (table[0].sum(0) >= 2)).any()
-    want = toxic_pu.log_odds(table[0].sum(0), table[1].sum(0), totals[0].sum(), totals[1].sum(), prior)
-    assert np.allclose(toxic_pu.fit(docs, labels, Scratch(spark, "t")).odds, want, atol=1e-5)
+    rows += [(1000 + i, t) for i, t in enumerate([None, "", "*** !!!", COLLIDING[0], COLLIDING[1], "x " + COLLIDING[4], LONG, "Snarlok GRUMBLE", "öl Öl"])]
+    rng.shuffle(rows)
+    docs = frame(spark, rows).repartition(3)
+    labels = spark.createDataFrame([(i, q, x) for i, q, x in labelled if rng.random() < 0.7], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxic_pu.toxicity(docs, labels, Scratch(spark, "t")).collect()}
+    want = plain.toxic_scores(docs, labels)
+    assert got.keys() == want.keys()
+    assert max(abs(got[d] - want[d]) for d in want) < 2e-3
+
+
+def test_class_prior_without_negatives():
+    rng = np.random.default_rng(3)
+    for prior in (0.02, 0.1, 0.4):
+        u = np.where(rng.random(20_000) < prior, rng.normal(3, 1, 20_000), rng.normal(-3, 1, 20_000))
+        assert abs(toxic_pu.class_prior(rng.normal(3, 1, 4000), u, 0.001) - prior) < 0.02
+    assert toxic_pu.class_prior(np.zeros(5), np.zeros(50), 0.1) == 0.9  # nothing tells them apart
+
+
+def test_labels_of_clean_texts_are_never_used(spark):
+    rows, labelled = toxic_rows(160)
+    docs = frame(spark, rows)
+    score = lambda own: toxic_pu.toxicity(docs, spark.createDataFrame(own, "doc_id long, quality int, toxic int"), Scratch(spark, "t")).toPandas().set_index("doc_id").score.round(9)
+    assert score(labelled).equals(score([x for x in labelled if x[2]]))
 
 
 def test_toxicity_awkward(spark, docs, nothing, labels):
