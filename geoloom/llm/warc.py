@@ -9,12 +9,14 @@ refer to it. Only digests and ids are grouped, with a partial aggregate
 first, so a payload of a third of all pages is no hot key.
 
 *Reading.* An archive is one row of the binary source and is parsed as a stream
-of records (bounded by ``RECORDS_PER_FILE``); payloads are digested again.
+of records (``RECORDS_PER_FILE`` of them at most; a compressed archive must stay
+below the 2 GB that Spark allows one row); payloads are digested again.
 
 *Index.* Each archive gives one run, sorted by URL key, timestamp and id. The
-key space is cut into ranges (Spark samples them; a hot URL is cut by
-timestamp and id), each range receives its slice of every run, and a loser tree
-merges the k slices. Ranges in order are the global order.
+key space is cut into ranges by a sample of the keys (a hot URL is cut by
+timestamp and id). Every run is cut at the bounds into sorted blocks, each range
+receives its blocks as they are, and a loser tree merges them. Ranges in order are
+the global order.
 
 Archives are compressed as whole files; offsets in the index are those of the
 uncompressed archive.
@@ -29,7 +31,9 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from urllib.parse import parse_qsl, quote, unquote, urlsplit
 
 import pyarrow as pa
@@ -39,9 +43,11 @@ from pyspark.sql import functions as F
 from geoloom.llm.scratch import Scratch
 
 MIN_REVISIT = 100
-RECORDS_PER_FILE = 4096
+RECORDS_PER_FILE = 1024
 #: Captures that one range of the merge holds, about.
-RANGE_ROWS = 1 << 18
+RANGE_ROWS = 1 << 16
+#: Captures whose keys place the bounds: for each range, and in all.
+SAMPLED_PER_RANGE, MOST_SAMPLED = 40, 1_000_000
 EPOCH = 1_704_067_200
 END = "\r\n\r\n"
 
@@ -224,26 +230,75 @@ class LoserTree:
             self._replay(winner)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A range's slices, which arrive run after run, as one ordered sequence."""
-    held = list(batches)
-    if not held:
-        return
-    whole = pa.Table.from_batches(held)
-    cols = [whole.column(c).to_pylist() for c in _NAMES]
-    keys = list(map(_order, zip(*cols, strict=True)))
-    runs = cols[0]
-    cuts = [0, *(i for i in range(1, len(runs)) if runs[i] != runs[i - 1]), len(runs)]
-    slices = [iter([(keys[i], i) for i in range(a, b)]) for a, b in zip(cuts, cuts[1:], strict=False)]
-    order = pa.array([i for _, i in LoserTree(slices)], pa.int64())
+_BLOCK = "range int, block binary"
+
+
+def _cut(bounds):
+    """Cuts sorted stretches of captures at the bounds: one row per range and stretch, the captures as one Arrow block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = bounds.value
+        for batch in batches:
+            keys = list(map(_order, zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+            starts = [0, *(i for i in range(1, len(keys)) if keys[i] < keys[i - 1]), len(keys)]
+            numbers, blocks = [], []
+            for a, z in zip(starts, starts[1:], strict=False):
+                at = a
+                while at < z:
+                    k = bisect_right(edges, keys[at])
+                    stop = bisect_left(keys, edges[k], at, z) if k < len(edges) else z
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, _SCHEMA) as out:
+                        out.write_batch(batch.slice(at, stop - at).cast(_SCHEMA) if batch.schema != _SCHEMA else batch.slice(at, stop - at))
+                    numbers.append(k)
+                    blocks.append(sink.getvalue().to_pybytes())
+                    at = stop
+            if numbers:
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blocks, pa.binary())], ["range", "block"])
+
+    return run
+
+
+def _merged(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Sorted blocks as one sorted sequence."""
+    tables = [pa.ipc.open_stream(b).read_all() for b in blocks]
+    whole = pa.concat_tables(tables)
+    keys = list(map(_order, zip(*(whole.column(c).to_pylist() for c in _NAMES), strict=True)))
+    stops = list(accumulate(t.num_rows for t in tables))
+    sequences = [iter([(keys[i], i) for i in range(z - t.num_rows, z)]) for t, z in zip(tables, stops, strict=True)]
+    order = pa.array([i for _, i in LoserTree(sequences)], pa.int64())
     yield from whole.take(order).combine_chunks().to_batches(max_chunksize=8192)
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of one range after another, each range merged by itself."""
+    held, at = [], None
+    for batch in batches:
+        for number, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if held and number != at:
+                yield from _merged(held)
+                held = []
+            at = number
+            held.append(block.as_py())
+    if held:
+        yield from _merged(held)
+
+
+def range_bounds(runs: DataFrame, captures: int, ranges: int) -> list[tuple]:
+    """Keys that cut the captures into about equal ranges, from at most about MOST_SAMPLED of them."""
+    share = min(1.0, min(SAMPLED_PER_RANGE * ranges, MOST_SAMPLED) / max(captures, 1))
+    picked = runs.filter(F.pmod(F.xxhash64("run", "offset"), F.lit(1 << 30)) < int(share * (1 << 30))).select(*_NAMES[:4], *[F.lit(None).cast("string").alias("url")], "offset").toArrow()
+    keys = sorted(map(_order, zip(*(c.to_pylist() for c in picked.columns), strict=True)))
+    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+
+
 def merged_index(runs: DataFrame, captures: int, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All captures in the order of URL key, timestamp and id: partition after partition, row after row."""
     ranges = max(1, -(-captures // range_rows), min(captures, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    by = ["url_key", "ts", F.col("page_id").asc_nulls_first(), "run", "offset"]
-    return runs.repartitionByRange(ranges, *by).sortWithinPartitions("run", *by[:3], "offset").mapInArrow(_merge, _CAPTURE)
+    bounds = runs.sparkSession.sparkContext.broadcast(range_bounds(runs, captures, ranges))  # MOST_SAMPLED keys at most
+    blocks = runs.select(*_NAMES).mapInArrow(_cut(bounds), _BLOCK)
+    # Only the handles of blocks are put in order here; the captures in them stay as the runs have them.
+    return blocks.repartitionByRange(ranges, "range").sortWithinPartitions("range").mapInArrow(_merge, _CAPTURE)
 
 
 def capture_index(pages: DataFrame, scratch: Scratch) -> DataFrame:

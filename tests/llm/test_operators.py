@@ -290,6 +290,12 @@ PAGES = f"page_id long, url string, html string, {EXTRA}"
 BIG = "<p>" + "payload, " * 60
 
 
+def write_archives(pages, records_per_file):
+    path = Scratch(pages.sparkSession, "t").path("archives")
+    warc.write_archives(pages, path, records_per_file)
+    return path
+
+
 def test_warc_index(spark):
     rows = [(3, "http://WWW.b.example/x?b=2&a=1", BIG), (1, "http://a.example/ q", BIG), (2, None, BIG), (4, "", None), (5, "http://a.example/", "tiny"), (6, "http://a.example/", "tiny"), (None, "http://n.example/", BIG + "\r\n\r\nWARC/1.1\r\n"), (7, "h", "ä" * 200), (7, "h", "ä" * 200), (8, "http://a.example:bad/", "\r\n\r\n" * 50)]
     pages = frame(spark, rows, PAGES)
@@ -305,6 +311,12 @@ def test_warc_index(spark):
     assert all(r["intact"] for r in index)
     order = [(r["url_key"], r["ts"], r["page_id"] is not None, r["page_id"] or 0) for r in index]
     assert order == sorted(order)
+    many = [(i, f"http://h{i % 7}.example/{i % 3}" if i % 2 else "http://hot.example/", "x" * (i % 5)) for i in range(3000)] + [(9999, "http://big.example/", "big " * 3_000_000)]
+    runs = warc.read_runs(spark, str(write_archives(frame(spark, many, PAGES).repartition(4), 300))).cache()
+    merged = warc.merged_index(runs, len(many), range_rows=100)
+    found = [warc._order(tuple(r)) for r in merged.collect()]
+    assert merged.rdd.getNumPartitions() > 8 and len(found) == len(many) and found == sorted(found)
+    assert runs.filter("page_id = 9999 and intact and payload_bytes = 12000000").count() == 1
     assert warc.url_key("http://WWW.b.example:80/X/?b=2&a=1") == warc.url_key("https://b.example/x?a=1&b=2") == "example,b)/x?a=1&b=2"
     assert warc.capture_index(frame(spark, [], PAGES), Scratch(spark, "t")).count() == 0
 
