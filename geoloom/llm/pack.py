@@ -22,7 +22,7 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,8 @@ from geoloom.llm import textscan as ts
 from geoloom.llm.scratch import Scratch
 
 WINDOW, END_ID = 2048, 1
-#: Distinct pre-tokens, and bytes of them, that a worker remembers before it starts anew.
-MEMO, MEMO_BYTES = 1 << 20, 1 << 25
+#: Distinct pre-tokens, bytes of them, and ids that a worker remembers before it starts anew.
+MEMO, MEMO_BYTES, MEMO_IDS = 1 << 20, 1 << 25, 1 << 24
 _STATE: dict = {}
 
 
@@ -120,9 +120,9 @@ def _encode(path: str, texts: list[str], special: bool) -> list[list[int]]:
 
 
 class Memo:
-    """Ids of distinct strings by their bytes, as one ragged array; ``encode`` is asked for new ones."""
+    """Ids of distinct words (bytes) as one ragged array; ``encode`` is asked for new ones."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode: Callable[[list[bytes]], Iterable[Sequence[int]]]):
         self.encode = encode
         self.clear()
 
@@ -135,13 +135,13 @@ class Memo:
 
     def slots(self, words: list[bytes]) -> np.ndarray:
         """Slot of each of the words, which are distinct."""
-        if self.n and (self.n + len(words) > MEMO or self.held > MEMO_BYTES):
+        if self.n and (self.n + len(words) > MEMO or self.held > MEMO_BYTES or self.used > MEMO_IDS):
             self.clear()
         get = self.slot.get
         found = [get(w, -1) for w in words]
         new = [i for i, s in enumerate(found) if s < 0]
         if new:
-            for i, ids in zip(new, self.encode([words[i].decode("utf-8") for i in new]), strict=True):
+            for i, ids in zip(new, self.encode([words[i] for i in new]), strict=True):
                 while self.n >= len(self.start):
                     self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
                 while self.used + len(ids) > len(self.ids):
@@ -165,7 +165,7 @@ class Memo:
 def token_ids(column: pa.Array, path: str, special: bool = False) -> Iterator[np.ndarray]:
     """The ids of every text of the column, in order."""
     if _STATE.get("memo_path") != (path, special):
-        _STATE.update(memo=Memo(lambda texts: _encode(path, texts, special)), memo_path=(path, special))
+        _STATE.update(memo=Memo(lambda words: _encode(path, [w.decode("utf-8") for w in words], special)), memo_path=(path, special))
     memo: Memo = _STATE["memo"]
     _tokenizer(path, special)
     added = _STATE["added"]

@@ -157,7 +157,7 @@ def shared_viterbi(vocabulary: Vocabulary, words: list[str]) -> list[list[int]]:
 def _vocabulary(path: str) -> tuple[Vocabulary, Memo]:
     if _STATE.get("path") != path:
         v = Vocabulary(path)
-        _STATE.update(path=path, vocabulary=v, memo=Memo(lambda words: shared_viterbi(v, words)))
+        _STATE.update(path=path, vocabulary=v, memo=Memo(lambda words: shared_viterbi(v, [w.decode("utf-8") for w in words])))
     return _STATE["vocabulary"], _STATE["memo"]
 
 

@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm import textscan as ts
+from geoloom.llm.pack import Memo
 
 MAX_POSITIVE, MAX_UNLABELLED = 16_384, 16_384
 TABLE_BITS = 20
@@ -90,26 +91,28 @@ def _count(wanted):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = wanted.value if wanted else None
+
+        def entries(words: list[bytes]) -> list[np.ndarray]:
+            stops = np.cumsum([len(w) for w in words])
+            grams, word = word_grams(np.frombuffer(b"".join(words), dtype=np.uint8), stops - [len(w) for w in words], stops)
+            if mask is not None:
+                grams, word = grams[mask[grams]], word[mask[grams]]
+            order = np.argsort(word, kind="stable")
+            return np.split(grams[order], np.searchsorted(word[order], np.arange(1, len(words))))
+
+        memo = Memo(entries)
         counts, docs = np.zeros((FOLDS, TABLE), dtype=np.int64), [0] * FOLDS
         for batch in batches:
             folds = batch.column(0).to_pylist()
             for a, _, data, offsets in ts.slices(batch.column(1)):
                 low, starts, ends, first = _words(data, offsets)
                 where, which = ts.distinct(low, starts, ends)
-                grams, word = word_grams(low, starts[where], ends[where])
-                if mask is not None:
-                    grams, word = grams[mask[grams]], word[mask[grams]]
-                order = np.argsort(word, kind="stable")
-                grams, bounds = grams[order], np.searchsorted(word[order], np.arange(len(where) + 1))
-                sizes = np.diff(bounds)
+                raw = low.tobytes()
+                slot = memo.slots([raw[i:j] for i, j in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])[which]
                 for d in range(len(offsets) - 1):
-                    fold = folds[a + d]
-                    docs[fold] += 1
-                    own = np.unique(which[first[d] : first[d + 1]])
-                    n = sizes[own]
-                    stops = np.cumsum(n)
-                    at = np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(bounds[own] - (stops - n), n)
-                    counts[fold][grams[at]] += 1  # once, however often the document holds it
+                    docs[folds[a + d]] += 1
+                    grams, _ = memo.gather(np.unique(slot[first[d] : first[d + 1]]))
+                    counts[folds[a + d]][grams] += 1  # once, however often the document holds it
         for fold in range(FOLDS):
             at = np.flatnonzero(counts[fold])
             n = len(at) + 1
@@ -190,11 +193,10 @@ def _described(shared):
         for batch in batches:
             folds = np.array(batch.column(1).to_pylist())
             rows = np.zeros((batch.num_rows, FEATURES))
-            for a, b, data, offsets in ts.slices(batch.column(2)):
-                for fold, table in enumerate(odds):
-                    own = np.flatnonzero(folds[a:b] == fold)
-                    if len(own):
-                        rows[a + own] = describe(data, offsets, table, memos[fold])[own]
+            for fold, table in enumerate(odds):
+                own = np.flatnonzero(folds == fold)
+                for a, b, data, offsets in ts.slices(batch.column(2).take(pa.array(own))):
+                    rows[own[a:b]] = describe(data, offsets, table, memos[fold])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), *(pa.array(rows[:, k]) for k in range(FEATURES))], ["kind", *(f"x{k}" for k in range(FEATURES))])
 
     return run
