@@ -122,8 +122,8 @@ def _encode(path: str, texts: list[str], special: bool) -> list[list[int]]:
 class Memo:
     """Ids of distinct words (bytes) as one ragged array; ``encode`` is asked for new ones."""
 
-    def __init__(self, encode: Callable[[list[bytes]], Iterable[Sequence[int]]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], Iterable[Sequence[int]]], words: int = MEMO, held: int = MEMO_BYTES, ids: int = MEMO_IDS):
+        self.encode, self.most = encode, (words, held, ids)
         self.clear()
 
     def clear(self) -> None:
@@ -135,7 +135,7 @@ class Memo:
 
     def slots(self, words: list[bytes]) -> np.ndarray:
         """Slot of each of the words, which are distinct."""
-        if self.n and (self.n + len(words) > MEMO or self.held > MEMO_BYTES or self.used > MEMO_IDS):
+        if self.n and (self.n + len(words) > self.most[0] or self.held > self.most[1] or self.used > self.most[2]):
             self.clear()
         get = self.slot.get
         found = [get(w, -1) for w in words]

@@ -18,6 +18,9 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+#: Rows of an Arrow batch at most, as a row holds a whole text.
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _owned: list[Scratch] = []
 
 
@@ -44,6 +47,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         _owned.append(self)
+        if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

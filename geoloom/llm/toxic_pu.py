@@ -48,7 +48,9 @@ TABLE = 1 << TABLE_BITS
 GRAMS = (3, 4, 5, 6)
 THRESHOLD = 0.3
 #: Words (below ``ts.LONG`` bytes) that a worker remembers before it starts anew.
-MEMO = 1 << 20
+MEMO = 1 << 18
+#: Words whose n-grams are held at once.
+AT_ONCE = 1 << 12
 #: Parts of the training texts; a text is described by the odds of the others.
 FOLDS = 4
 #: Confirmed documents from which on an n-gram has odds of its own.
@@ -93,15 +95,19 @@ def _count(wanted):
         mask = wanted.value if wanted else None
 
         def entries(words: list[bytes]) -> list[np.ndarray]:
-            stops = np.cumsum([len(w) for w in words])
-            grams, word = word_grams(np.frombuffer(b"".join(words), dtype=np.uint8), stops - [len(w) for w in words], stops)
-            if mask is not None:
-                grams, word = grams[mask[grams]], word[mask[grams]]
-            order = np.argsort(word, kind="stable")
-            return np.split(grams[order], np.searchsorted(word[order], np.arange(1, len(words))))
-
-        memo = Memo(entries)
-        counts, docs = np.zeros((FOLDS, TABLE), dtype=np.int64), [0] * FOLDS
+            out: list[np.ndarray] = []
+            for a in range(0, len(words), AT_ONCE):
+                part = words[a : a + AT_ONCE]
+                stops = np.cumsum([len(w) for w in part])
+                grams, word = word_grams(np.frombuffer(b"".join(part), dtype=np.uint8), stops - [len(w) for w in part], stops)
+                if mask is not None:
+                    grams, word = grams[mask[grams]], word[mask[grams]]
+                order = np.argsort(word, kind="stable")
+                out += np.split(grams[order].astype(np.int32), np.searchsorted(word[order], np.arange(1, len(part))))
+            return out
+
+        memo = Memo(entries, MEMO, 1 << 23, 1 << 22)
+        counts, docs = np.zeros((FOLDS, TABLE), dtype=np.int32), [0] * FOLDS
         for batch in batches:
             folds = batch.column(0).to_pylist()
             for a, _, data, offsets in ts.slices(batch.column(1)):
@@ -116,7 +122,7 @@ def _count(wanted):
         for fold in range(FOLDS):
             at = np.flatnonzero(counts[fold])
             n = len(at) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([fold] * n, pa.int32()), pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(counts[fold][at], docs[fold]), pa.int64())], ["fold", "gram", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([fold] * n, pa.int32()), pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(counts[fold][at].astype(np.int64), docs[fold]), pa.int64())], ["fold", "gram", "docs"])
 
     return run
 
@@ -169,11 +175,12 @@ def describe(data: np.ndarray, offsets: np.ndarray, odds: np.ndarray, memo: dict
     own = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
     value = np.array([get(x, np.nan) for x in own])
     new = np.flatnonzero(np.isnan(value))
-    if len(new):
-        grams, word = word_grams(low, starts[where[new]], ends[where[new]])
-        best = word_odds(odds[grams], word, len(new))
-        value[new] = best
-        memo.update((own[i], x) for i, x in zip(new.tolist(), best.tolist(), strict=True) if len(own[i]) < ts.LONG)
+    for a in range(0, len(new), AT_ONCE):
+        part = new[a : a + AT_ONCE]
+        grams, word = word_grams(low, starts[where[part]], ends[where[part]])
+        best = word_odds(odds[grams], word, len(part))
+        value[part] = best
+        memo.update((own[i], x) for i, x in zip(part.tolist(), best.tolist(), strict=True) if len(own[i]) < ts.LONG)
     v = value[which]
     n = first[1:] - first[:-1]
     out[:, 0] = ts.by_document(v, first, np.maximum, -8.0)
