@@ -58,8 +58,8 @@ BLOCK_ENTRIES = 1 << 20
 #: Incidence entries of a component's classes, of the probes, and of a bin of blocks in the product.
 MEMBER_ENTRIES, PROBE_ENTRIES, BIN_ENTRIES = 1 << 17, 1 << 19, 1 << 21
 MANY = 0xFFFF
-#: Entries, and columns, that a row of the masked product is multiplied with in one task, at least.
-COLUMN_ENTRIES, COLUMNS = 1 << 14, 8
+#: Entries, and columns, that a row of the masked product is multiplied with in one task, if it has them; columns at most.
+COLUMN_ENTRIES, COLUMNS, MOST_COLUMNS = 1 << 14, 8, 128
 #: Counts that rank shingles by how common they are (by the highest bits of the hash).
 RANKS = 1 << 16
 
@@ -268,7 +268,7 @@ def masked_product(mask: DataFrame, nodes: DataFrame, scratch: Scratch, name: st
     """The pairs of ``mask`` (a: node, b: row node) that link, by the blocked product of ``nodes`` (node, n, grams)."""
     mask = scratch.keep(mask.join(nodes.select(F.col("node").alias("a"), "n"), "a"), f"{name}-mask")
     pairs, entries = mask.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    per_row = scratch.keep(mask.groupBy("b").agg(F.count(F.lit(1)).alias("asks"), F.ceil(F.sum("n") / F.greatest(F.lit(COLUMN_ENTRIES), COLUMNS * F.avg("n"))).cast("int").alias("parts")), f"{name}-rows")
+    per_row = scratch.keep(mask.groupBy("b").agg(F.count(F.lit(1)).alias("asks"), F.ceil(F.greatest(F.sum("n") / F.greatest(F.lit(COLUMN_ENTRIES), COLUMNS * F.avg("n")), F.count(F.lit(1)) / MOST_COLUMNS)).cast("int").alias("parts")), f"{name}-rows")
     bins = max(16, spark_partitions(nodes), 4 * int(entries // BIN_ENTRIES))
     bin_of = lambda part: F.pmod(F.xxhash64("b", part), F.lit(bins)).cast("int")
     dealt = attach(mask, per_row, "b", "asks", pairs).select("a", "b", bin_of(F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).alias("bin"))
