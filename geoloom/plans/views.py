@@ -14,7 +14,7 @@ VIEWS: dict[str, str] = {
     "f_local": "select way_id, seq, node_id, cast((way_id*7919)%350000 as double)/1000.0-180.0+cast((node_id*31)%200 as double)/1000.0 as lon, cast((way_id*104729)%150000 as double)/1000.0-75.0+cast((node_id*17)%200 as double)/1000.0 as lat from {f_way_nodes}",
     "f_ways": "select o_orderkey as id, case o_orderpriority when '1-URGENT' then 'highway' when '2-HIGH' then 'railway' when '3-MEDIUM' then 'waterway' when '4-NOT SPECIFIED' then 'landuse' else 'building' end as k,"
     " case o_orderpriority when '1-URGENT' then (case o_orderkey%3 when 0 then 'motorway' when 1 then 'residential' else 'footway' end) when '2-HIGH' then 'rail' when '3-MEDIUM' then 'river' when '4-NOT SPECIFIED' then 'forest' else 'yes' end as v from {orders}",
-    "f_members": "select distinct l_suppkey as rel_id, l_orderkey as way_id, case when l_returnflag='R' then 'inner' else 'outer' end as role from {lineitem} where l_orderkey%97=0",
+    "f_members": "select distinct l_suppkey as rel_id, l_orderkey as way_id, case when l_returnflag='R' then 'inner' else 'outer' end as role from {lineitem}",
     "f_points": "select c_custkey as id, c_name as name, cast(((c_custkey*7919+c_nationkey*1301)%360000) as double)/1000.0-180.0 as lon, cast(((c_custkey*104729)%160000) as double)/1000.0-80.0 as lat,"
     " case c_mktsegment when 'BUILDING' then 'building' when 'AUTOMOBILE' then 'shop' when 'MACHINERY' then 'craft' when 'HOUSEHOLD' then 'amenity' else 'tourism' end as k,"
     " case c_custkey%4 when 0 then 'restaurant' when 1 then 'hotel' when 2 then 'supermarket' else 'zzz_unknown' end as v from {customer}",
