@@ -1,16 +1,18 @@
-"""Map extracts in the public OSM PBF format, as a batch data source with one partition per run of blobs.
+"""Map extracts in the public OSM PBF format, as a batch data source with one partition per byte range.
 
 ``spark.dataSource.register(PbfSource)``; then
 ``spark.read.format("osm_pbf").option("elements", "node,way,relation").load(path)``
-gives osm_type, id, lon, lat, refs, members, tags. A blob is decoded by the
-task that owns it; ids, positions and references are delta sums in numpy.
-``elements`` is pushed into the reader: other groups are not decoded. Paths
-must be readable as files on every node.
+gives osm_type, id, lon, lat, refs, members, tags. Only the file's size is read
+on the driver: a task finds the first blob header of its byte range itself and
+decodes the blobs that start there; ids, positions and references are delta
+sums in numpy. ``elements`` is pushed into the reader: other groups are not
+decoded. Paths are files that every node sees, or addresses that pyarrow opens.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,6 +26,9 @@ SCHEMA = "osm_type string, id long, lon double, lat double, refs array<long>, me
 MEMBER_TYPES = ("node", "way", "relation")
 #: Bytes of compressed blobs that one partition reads, about.
 PARTITION_BYTES = 32 << 20
+#: Bytes of a blob header at most, bytes that are searched for one at a time, and how one begins after its length.
+MOST_HEADER, WINDOW = 64 << 10, 1 << 20
+_MARK = re.compile(rb"\n(?:\x07OSMData|\x09OSMHeader)")
 
 
 def varints(data: bytes) -> np.ndarray:
@@ -42,17 +47,60 @@ def signed(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(1)).astype(np.int64) ^ -(values & np.uint64(1)).astype(np.int64)
 
 
-def blobs(path: str) -> Iterator[tuple[str, int, int]]:
-    """(kind, offset, size) of every blob of a file."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
-        at = 0
-        while at + 4 <= size:
-            f.seek(at)
-            (n,) = struct.unpack(">I", f.read(4))
-            head = {k: v for k, _, v in fields(f.read(n))}
-            yield head[1].decode(), at + 4 + n, head[3]
-            at += 4 + n + head[3]
+def opened(path: str):
+    """A file to seek and read in, of a local path or of any address that pyarrow can open, and its size."""
+    if "://" not in path:
+        path = path.removeprefix("file:")
+        return open(path, "rb"), os.path.getsize(path)
+    from pyarrow import fs
+
+    found, inner = fs.FileSystem.from_uri(path)
+    f = found.open_input_file(inner)
+    return f, f.size()
+
+
+def _header(f, at: int, size: int) -> tuple[str, int, int] | None:
+    """(kind, offset, size) of the blob whose header starts at a position; None if none does."""
+    f.seek(at)
+    start = f.read(4)
+    if len(start) < 4 or not 0 < (n := struct.unpack(">I", start)[0]) <= MOST_HEADER:
+        return None
+    head = {k: v for k, _, v in fields(f.read(n))}
+    kind, length = head.get(1), head.get(3)
+    if kind not in (b"OSMHeader", b"OSMData") or not isinstance(length, int) or at + 4 + n + length > size:
+        return None
+    return kind.decode(), at + 4 + n, length
+
+
+def _first_header(f, start: int, stop: int, size: int) -> int | None:
+    """Where the first blob header of a byte range starts: one that another header, or the end, follows."""
+    at = start
+    while at < stop:
+        f.seek(at)
+        window = f.read(WINDOW + 32)
+        seen = 0
+        while (hit := _MARK.search(window, seen)) and at + hit.start() - 4 < stop:
+            place = at + hit.start() - 4
+            seen = hit.start() + 1
+            found = _header(f, place, size) if place >= start else None
+            if found and (found[1] + found[2] == size or _header(f, found[1] + found[2], size)):
+                return place
+        at += WINDOW
+    return None
+
+
+def blobs(path: str, start: int = 0, stop: int | None = None) -> Iterator[tuple[str, int, int]]:
+    """(kind, offset, size) of every blob whose header starts in a byte range of a file."""
+    f, size = opened(path)
+    with f:
+        stop = size if stop is None else min(stop, size)
+        at = start if start == 0 else _first_header(f, start, stop, size)
+        while at is not None and at < stop:
+            found = _header(f, at, size)
+            if found is None:
+                raise ValueError(f"no blob at byte {at} of {path}")
+            yield found
+            at = found[1] + found[2]
 
 
 def inflate(blob: bytes) -> bytes:
@@ -116,9 +164,9 @@ def decode_block(data: bytes, wanted: frozenset[str]) -> Iterator[tuple]:
 
 
 class _Run(InputPartition):
-    def __init__(self, path: str, spans: list[tuple[int, int]]):
+    def __init__(self, path: str, start: int, stop: int):
         super().__init__(None)
-        self.path, self.spans = path, spans
+        self.path, self.start, self.stop = path, start, stop
 
 
 class _Reader(DataSourceReader):
@@ -128,23 +176,17 @@ class _Reader(DataSourceReader):
         self.step = int(options.get("partitionBytes", PARTITION_BYTES))
 
     def partitions(self) -> list[_Run]:
-        runs: list[list[tuple[int, int]]] = []
-        held = self.step
-        for kind, at, size in blobs(self.path):
-            if kind != "OSMData":
-                continue
-            if held + size > self.step:
-                runs.append([])
-                held = 0
-            runs[-1].append((at, size))
-            held += size
-        return [_Run(self.path, spans) for spans in runs] or [_Run(self.path, [])]
+        f, size = opened(self.path)
+        f.close()
+        return [_Run(self.path, a, a + self.step) for a in range(0, max(size, 1), self.step)]
 
     def read(self, partition: _Run) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            for at, size in partition.spans:
-                f.seek(at)
-                yield from decode_block(inflate(f.read(size)), self.wanted)
+        f, _ = opened(partition.path)
+        with f:
+            for kind, at, size in blobs(partition.path, partition.start, partition.stop):
+                if kind == "OSMData":
+                    f.seek(at)
+                    yield from decode_block(inflate(f.read(size)), self.wanted)
 
 
 class PbfSource(DataSource):
