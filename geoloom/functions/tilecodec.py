@@ -93,20 +93,20 @@ def _commands(gtype: str, parts: list[list[np.ndarray]]) -> list[int]:
 
 def encode_tile(layers: dict[str, list[tuple[int, str, list[list[np.ndarray]], dict[str, str]]]], extent: int = 4096) -> bytes | None:
     """Tile of layers of (id, gtype, tile-local parts, tags); None if nothing can be drawn."""
-    tile = b""
+    tile: list[bytes] = []
     for name, features in layers.items():
         keys: dict[str, int] = {}
         values: dict[str, int] = {}
-        body = b""
+        body: list[bytes] = []
         for fid, gtype, parts, tags in features:
             commands = _commands(gtype, parts)
             if not commands:
                 continue
             marks = b"".join(varint(keys.setdefault(k, len(keys))) + varint(values.setdefault(v, len(values))) for k, v in tags.items())
-            body += _field(2, _number(1, fid % (1 << 64)) + _field(2, marks) + _number(3, GTYPES[gtype]) + _field(4, b"".join(map(varint, commands))))
+            body.append(_field(2, _number(1, fid % (1 << 64)) + _field(2, marks) + _number(3, GTYPES[gtype]) + _field(4, b"".join(map(varint, commands)))))
         if body:
-            tile += _field(3, _field(1, name.encode()) + body + b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _field(1, v.encode())) for v in values) + _number(5, extent) + _number(15, 2))
-    return tile or None
+            tile.append(_field(3, _field(1, name.encode()) + b"".join(body) + b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _field(1, v.encode())) for v in values) + _number(5, extent) + _number(15, 2)))
+    return b"".join(tile) or None
 
 
 def _read(data: bytes, at: int) -> tuple[int, int]:
@@ -151,7 +151,7 @@ def value_text(data: bytes) -> str:
         if number in (2, 3):
             return repr(struct.unpack("<f" if number == 2 else "<d", v)[0])
         if number in (4, 5):
-            return str(v)
+            return str(v - (1 << 64) if number == 4 and v >= 1 << 63 else v)
         if number == 6:
             return str(unzigzag(v))
         if number == 7:

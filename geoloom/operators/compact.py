@@ -15,7 +15,6 @@ from geoloom.functions import shapes, vocab
 from geoloom.functions import tags as T
 from geoloom.functions import text as X
 from geoloom.operators.streamed import by_group
-from geoloom.operators.tiles import as_arrays
 
 # The header and its limits.
 MAGIC, VERSION, HEADER = b"TMAP", 3, 32
@@ -50,7 +49,9 @@ def pack_points(pixels: np.ndarray) -> bytes | None:
     """
     if len(pixels) < 2:
         return None
-    d = np.diff(pixels, axis=0)[:MOST_DELTAS]
+    d = np.diff(pixels, axis=0)
+    if len(d) > MOST_DELTAS:
+        raise ValueError("a record holds 254 deltas at most")
     bits: list[tuple[int, int]] = []
     info, widths, one_sign, magnitude = 0, [0, 0], [False, False], [0, 0]
     for axis in (0, 1):
@@ -74,6 +75,20 @@ def pack_points(pixels: np.ndarray) -> bytes | None:
     return bytes([len(d) + 1, int(pixels[0, 0]), int(pixels[0, 1]), info]) + value.to_bytes((at + 7) // 8, "little")
 
 
+def line_records(pixels: np.ndarray) -> Iterator[bytes]:
+    """A pixel line as records that fit the format, one after another with a common point."""
+    at = 0
+    while at < len(pixels) - 1:
+        n = min(MOST_DELTAS, len(pixels) - 1 - at)
+        while True:
+            try:
+                yield pack_points(pixels[at : at + n + 1])
+                break
+            except ValueError:  # too wide with changing signs: a single step never is
+                n = n // 2
+        at += n
+
+
 def unpack_points(data: bytes) -> tuple[np.ndarray, int]:
     """The pixels of a packed line and the bytes it took."""
     count, x, y, info = data[:4]
@@ -157,10 +172,12 @@ def build_blob(rows: list[dict], box: shapes.Box, width: int = 176, height: int
         polygon = r["gtype"] == "polygon" and (r["area"] or len(parts) > 1)
         category = r["category"] if polygon or r["category"] != vocab.CATEGORY_CODES["water_area"] else vocab.CATEGORY_CODES["water_line"]
         for rings in drawn:
-            packed = pack_points(to_pixels(rings[0], box, width, height))
-            if packed:
-                lines += bytes([polygon << 7 | category << 4 | r["subcategory"] & 15]) + packed
-                n_lines += 1
+            pixels = to_pixels(rings[0], box, width, height)
+            # A ring has to stay one record, so it is cut at the format's limit.
+            for packed in [pack_points(pixels[: MOST_DELTAS + 1])] if polygon else line_records(pixels):
+                if packed:
+                    lines += bytes([polygon << 7 | category << 4 | r["subcategory"] & 15]) + packed
+                    n_lines += 1
         if labels and r["labelled"] and r["name"] and r["gtype"] == "line" and len(every) >= 2:
             k = len(every) // 2
             at, a, b = to_pixels(every[[k, max(k - 1, 0), min(k + 1, len(every) - 1)]], box, width, height)
@@ -207,7 +224,7 @@ def _cell_blob(step: float, labels: bool, size: tuple[int, int, int]):
     def build(rows: list[dict]) -> list[dict]:
         cx, cy = rows[0]["cx"], rows[0]["cy"]
         box = (cx * step, cy * step, (cx + 1) * step, (cy + 1) * step)
-        blob = build_blob([r | {"parts": as_arrays(r["parts"])} for r in rows], box, *size, labels=labels)
+        blob = build_blob(rows, box, *size, labels=labels)
         return [{"cx": cx, "cy": cy, "blob": blob}] if len(blob) > HEADER else []
 
     return build

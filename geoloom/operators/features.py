@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions import shapes
-from geoloom.operators.tiles import PARTS, as_arrays, as_rows
+from geoloom.operators.tiles import PARTS, as_rows, part_arrays, with_parts
 
 
 def clipped(features: DataFrame, box: shapes.Box, fraction: float = 0.0) -> DataFrame:
@@ -19,12 +19,8 @@ def clipped(features: DataFrame, box: shapes.Box, fraction: float = 0.0) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                parts = shapes.clip_parts(r["gtype"], as_arrays(r["parts"]), box, fraction)
-                if parts is not None:
-                    rows.append(r | {"parts": as_rows(parts)})
-            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+            found = [shapes.clip_parts(k, p, box, fraction) for k, p in zip(batch.column("gtype").to_pylist(), part_arrays(batch.column("parts")), strict=True)]
+            yield with_parts(batch.filter(pa.array([p is not None for p in found], pa.bool_())), [p for p in found if p is not None])
 
     return features.mapInArrow(run, features.schema)
 
@@ -34,8 +30,7 @@ def simplified(features: DataFrame, tolerance: float, holes: bool = True) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r | {"parts": as_rows(shapes.simplify_parts(r["gtype"], as_arrays(r["parts"]), tolerance, holes))} for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+            yield with_parts(batch, [shapes.simplify_parts(k, p, tolerance, holes) for k, p in zip(batch.column("gtype").to_pylist(), part_arrays(batch.column("parts")), strict=True)])
 
     return features.mapInArrow(run, features.schema)
 

@@ -85,10 +85,23 @@ def tile_cap(zoom: Column) -> Column:
     return out
 
 
+#: Shares of a crowded tile that are ranked by themselves.
+SHARES = 32
+
+
 def capped(tiled: DataFrame, ordinal: list[str], cap: Column) -> DataFrame:
-    """The first features of every tile by ``ordinal``; run on ids, before geometry is joined."""
-    rank = F.expr(f"row_number() over (partition by z, x, y order by {', '.join(ordinal)})")
-    return tiled.withColumn("rank", rank).filter(F.col("rank") <= cap)
+    """The first features of every tile by ``ordinal``; run on ids, before geometry is joined.
+
+    Tiles are counted first and only those beyond their cap are ranked: first
+    inside ``SHARES`` shares of a tile, then what is left of them. So a tile that
+    holds most features is never sorted whole in one task.
+    """
+    key, order = ["z", "x", "y"], ", ".join(ordinal)
+    crowded = tiled.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.max(cap).alias("cap")).filter("size > cap").select(*key, "cap")
+    share = F.pmod(F.xxhash64(*ordinal), F.lit(SHARES))
+    inside = tiled.join(crowded, key).withColumn("share", share).withColumn("rank", F.expr(f"row_number() over (partition by z, x, y, share order by {order})")).filter("rank <= cap")
+    ranked = inside.withColumn("rank", F.expr(f"row_number() over (partition by z, x, y order by {order})")).filter("rank <= cap").select(*tiled.columns)
+    return tiled.join(crowded, key, "left_anti").unionByName(ranked)
 
 
 def first_per_cell(rows: DataFrame, cell: list[str], ordinal: list[str]) -> DataFrame:

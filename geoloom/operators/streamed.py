@@ -12,6 +12,19 @@ from pyspark.sql.types import StructType
 OUT_ROWS = 256
 
 
+def rows_of(batch: pa.RecordBatch) -> list[dict]:
+    """The rows of a batch; ``parts``, where there are any, as arrays of vertices."""
+    at = batch.schema.get_field_index("parts")
+    if at < 0:
+        return batch.to_pylist()
+    from geoloom.operators.tiles import part_arrays
+
+    rows = batch.drop_columns(["parts"]).to_pylist()
+    for row, parts in zip(rows, part_arrays(batch.column(at)), strict=True):
+        row["parts"] = parts
+    return rows
+
+
 def by_group(rows: DataFrame, keys: list[str], order: list[str], build: Callable[[list[dict]], list[dict]], schema: str, arrow: pa.Schema) -> DataFrame:
     """``build`` gets the rows of each group in order and returns rows of ``schema`` (``arrow`` is the same as Arrow types)."""
 
@@ -20,7 +33,7 @@ def by_group(rows: DataFrame, keys: list[str], order: list[str], build: Callable
         out: list[dict] = []
         key = None
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 k = tuple(row[c] for c in keys)
                 if k != key and held:
                     out += build(held)

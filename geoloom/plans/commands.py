@@ -70,13 +70,12 @@ def inspect(spark: SparkSession, path: str) -> dict:
 def generate_tiles(spark: SparkSession, path: str, out: str, zooms: str = "0-14", layers: str | None = None, include: str | None = None, exclude: str | None = None, all_tags: bool = False) -> DataFrame:
     """Writes the tile table of a map extract (PBF or GeoJSON) and returns it."""
     if path.endswith((".geojson", ".json")):
-        f = files.boxed(files.geojson(spark, path)).withColumn("ordinal", F.struct(F.lit(0).alias("kind"), F.col("id").alias("id")))
+        f = files.boxed(files.geojson(spark, path))
     else:
         f = build_features(elements(spark, path), T.parse_layers(layers))
     f = f.filter(T.include_exclude(F.col("tags"), include, exclude))
     low, high = inspection.parse_zooms(zooms)
-    unique = f.withColumn("id", F.col("id")).withColumn("ordinal", F.col("ordinal.kind") * F.lit(1 << 60) + F.col("id"))
-    tiles.write_table(tiles.generate(unique, low, high, all_tags), out)
+    tiles.write_table(tiles.generate(f, low, high, all_tags), out)
     return spark.read.parquet(out)
 
 

@@ -44,7 +44,7 @@ def clip_line_pieces(spark, sf_dir):
 @query()
 def simplify_invariants(spark, sf_dir):
     e = view(spark, sf_dir, "embeddings")
-    line = F.array(*(_point(F.element_at("embedding", 2 * i + 1), F.element_at("embedding", 2 * i + 2)) for i in range(32)))
+    line = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1), lambda i: _point(F.col("embedding")[2 * i], F.col("embedding")[2 * i + 1]))
     rows = e.select(F.col("vec_id").alias("id"), F.lit("line").alias("gtype"), F.array(F.array(line)).alias("parts"))
     s = features.simplified(rows, 0.2)
     both = rows.select("id", F.col("parts")[0][0].alias("a")).join(s.select("id", F.col("parts")[0][0].alias("b")), "id")

@@ -35,10 +35,10 @@ def _rings(coordinates: Column) -> Column:
 
 
 def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """id, layer, class, gtype, parts, tags of a FeatureCollection or a Feature; anything else is an error.
+    """ordinal, id, layer, class, gtype, parts, tags of a FeatureCollection or a Feature; anything else is an error.
 
     Features without a usable geometry are skipped; ids that are no integers
-    are replaced by a counter; scalars among the properties become tags, and
+    are replaced by a counter and may repeat, ``ordinal`` does not; scalars among the properties become tags, and
     what does not classify is natural/other.
     """
     raw = spark.read.text(path, wholetext=True)
@@ -60,7 +60,7 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
     scalars = F.map_filter(F.coalesce("f.properties", F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull() & ~v.rlike(r"^\s*[\[{]"))
     rows = f.withColumns({"parts": parts.cast(PARTS), "gtype": gtype, "tags": scalars}).filter("parts is not null")
     layer, cls = T.classify(F.col("tags"), vocab.LAYERS)
-    return rows.select(F.coalesce(F.col("f.id").try_cast("long"), F.col("n") + 1).alias("id"), F.coalesce(layer, F.lit("natural")).alias("layer"), F.coalesce(cls, F.lit("other")).alias("class"), "gtype", "parts", "tags")
+    return rows.select(F.col("n").alias("ordinal"), F.coalesce(F.col("f.id").try_cast("long"), F.col("n") + 1).alias("id"), F.coalesce(layer, F.lit("natural")).alias("layer"), F.coalesce(cls, F.lit("other")).alias("class"), "gtype", "parts", "tags")
 
 
 def boxed(features: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from geoloom.plans import feature_queries  # noqa: F401
+from geoloom.plans import feature_queries, small_queries  # noqa: F401
 from geoloom.plans.queries import ORACLE, QUERIES
 
 

@@ -1,5 +1,6 @@
 import gzip
 import json
+import math
 import struct
 import zlib
 
@@ -49,8 +50,11 @@ def extract_file(tmp_path_factory):
 
 def test_pbf_source(spark, extract_file):
     App(spark).add(Sources())
-    df = spark.read.format("osm_pbf").option("partitionBytes", "1").load(extract_file)
-    assert df.rdd.getNumPartitions() == 3
+    sets = []
+    for step in ("7", "100", "33554432"):
+        df = spark.read.format("osm_pbf").option("partitionBytes", step).load(extract_file)
+        sets.append(sorted(map(str, df.collect())))
+    assert sets[0] == sets[1] == sets[2] and spark.read.format("osm_pbf").load(f"file://{extract_file}").count() == 5
     rows = {(r["osm_type"], r["id"]): r for r in df.collect()}
     assert set(rows) == {("node", 1), ("node", 2), ("node", 3), ("way", 50), ("relation", 70)}
     assert rows["node", 1]["tags"] == {"name": "A"} and rows["node", 2]["tags"] == {} and round(rows["node", 3]["lat"], 7) == -10.0
@@ -235,3 +239,54 @@ def test_plugins(spark):
     app.on(str, seen.append)
     app.emit("event")
     assert app.get(int) == 5 and seen[-1] == "event"
+
+
+@pytest.mark.parametrize(("n", "leaves"), [(3, False), (100_000, True)])
+def test_archive_of_any_size_can_be_read_by_range(spark, tmp_path, n, leaves):
+    z = 9
+    rows = spark.range(n).select(F.lit(z).alias("z"), (F.col("id") % 512).cast("int").alias("x"), F.floor(F.col("id") / 512).cast("int").alias("y"), F.encode(F.concat(F.lit("tile "), F.col("id").cast("string"), F.lit(" "), F.substring(F.sha2(F.col("id").cast("string"), 512), 1, 100) if leaves else F.lit("")), "UTF-8").alias("data"))
+    if leaves:  # lengths that do not compress
+        rows = rows.withColumn("data", F.substring("data", 1, (20 + F.abs(F.xxhash64("x", "y")) % 90).cast("int")))
+    path = str(tmp_path / "a.pmtiles")
+    assert tiles.write_archive(rows, path, (-180.0, -85.0, 180.0, 85.0), z, z) == n
+    archive = tiles.Archive(path)
+    assert archive.tiles == n and (archive.root_size + tiles.HEADER_BYTES <= tiles.FIRST_FETCH)
+    head = open(path, "rb").read(tiles.HEADER_BYTES)
+    assert (struct.unpack("<Q", head[48:56])[0] > 0) == leaves
+    for i in (0, n // 2, n - 1):
+        assert archive.tile(z, i % 512, i // 512).startswith(f"tile {i} ".encode())
+    assert archive.tile(z, 511, 511) is None and archive.tile(3, 0, 0) is None
+    got = archive.in_range(spark, z, 0, 0, 2, 1).collect()
+    assert {(r["x"], r["y"]): bytes(r["data"]).split()[:2] for r in got} == {(i % 512, i // 512): [b"tile", str(i).encode()] for i in range(n) if i % 512 <= 2 and i // 512 <= 1}
+    seen = archive.in_view(spark, -180.0, 84.0, -179.0, 85.0, z).count()
+    lat = math.radians(84.0)
+    south = int((1 - math.log(math.tan(lat) + 1 / math.cos(lat)) / math.pi) / 2 * 512)
+    assert seen == len([1 for i in range(n) if i % 512 <= 1 and i // 512 <= south])
+
+
+def test_places_along_the_curve():
+    for z in (0, 1, 5):
+        assert sorted(tiles.hilbert_id(z, x, y) for x in range(2**z) for y in range(2**z)) == list(range((4**z - 1) // 3, (4 ** (z + 1) - 1) // 3))
+        assert all(tiles.hilbert_place(tiles.hilbert_id(z, x, y)) == (z, x, y) for x in range(2**z) for y in range(2**z))
+
+
+def test_features_with_one_id_keep_their_own_geometry(spark):
+    point = "array(array(array(named_struct('x', 10.0D, 'y', 10.0D))))"
+    line = "array(array(array(named_struct('x', 10.0D, 'y', 10.0D), named_struct('x', 12.0D, 'y', 11.0D))))"
+    box = "10.0D as min_lon, 10.0D as min_lat, {0} as max_lon, {1} as max_lat"
+    rows = spark.sql(f"select 5L as id, 'place' as layer, 'city' as class, 'point' as gtype, {point} as parts, map('name', 'A') as tags, {box.format('10.0D', '10.0D')}, 0L as ordinal union all select 5L, 'highway', 'motorway', 'line', {line}, map('name', 'B'), {box.format('12.0D', '11.0D')}, 1L")
+    back = tiles.decode(tiles.generate(rows, 4, 6)).collect()
+    assert {(r["gtype"], r["name"], len(r["parts"][0][0]) >= 2) for r in back} == {("point", "A", False), ("line", "B", True)}
+    assert len({(r["z"], r["x"], r["y"], r["gtype"]) for r in back}) == len(back)
+
+
+def test_long_lines_become_several_records():
+    rng = np.random.default_rng(0)
+    pixels = np.column_stack([np.arange(1000) % 176, rng.integers(0, 176, 1000)])
+    back = []
+    for record in compact.line_records(pixels):
+        points, size = compact.unpack_points(record)
+        assert size == len(record)
+        back += points.tolist()[1 if back else 0 :]
+    assert back == pixels.tolist()
+    assert list(compact.line_records(pixels[:1])) == []
