@@ -64,9 +64,9 @@ class Vocabulary:
                 self.raw.append(piece.replace(MARK, " ").encode("utf-8"))
         lengths: dict[str, set[int]] = {}
         for piece in self.id:
-            if len(piece) > 1:
-                lengths.setdefault(piece[-2:], set()).add(len(piece))
-        #: By its last two characters, how long a piece can be, longest first.
+            if len(piece) > 2:
+                lengths.setdefault(piece[-3:], set()).add(len(piece))
+        #: By its last three characters, how long a piece of so many can be, longest first.
         self.lengths = {end: sorted(found, reverse=True) for end, found in lengths.items()}
         self.unknown = min(self.score.values(), default=0.0) - 10.0
         self.verdict: dict[tuple[str, str], bool] = {}
@@ -107,49 +107,63 @@ class Vocabulary:
 
 
 def shared_viterbi(vocabulary: Vocabulary, words: list[str]) -> list[list[int]]:
-    """Ids of distinct words, found in one depth-first walk of their trie."""
+    """Ids of distinct words, found in one depth-first walk of their trie.
+
+    Pieces that may end a prefix are tried from the longest down; the first that
+    may follow what stands before it is the only one that may.
+    """
     order = sorted(range(len(words)), key=words.__getitem__)
     out: list[list[int]] = [[] for _ in words]
-    score_of, known, lengths = vocabulary.score, vocabulary.id, vocabulary.lengths
-    follows, whole, unknown = vocabulary.follows, vocabulary.whole, vocabulary.unknown
+    score_of, lengths_of, verdict_of, reachable = vocabulary.score.get, vocabulary.lengths.get, vocabulary.verdict.get, vocabulary.reachable.get
+    follows, whole, unknown, id_of = vocabulary.follows, vocabulary.whole, vocabulary.unknown, vocabulary.id.get
     # Forward table by prefix length: score, last piece, where it begins.
     forward, last, back = [0.0], [""], [0]
     before = ""
     for k in order:
         word = words[k]
         shared, most = 0, min(len(word), len(before))
-        while shared < most and word[shared] == before[shared]:
-            shared += 1
+        if word[:most] == before[:most]:
+            shared = most
+        else:
+            while word[shared] == before[shared]:
+                shared += 1
         del forward[shared + 1 :], last[shared + 1 :], back[shared + 1 :]
         for i in range(shared + 1, len(word) + 1):
             best, piece, start = -np.inf, "", -1
-            for n in (*lengths.get(word[i - 2 : i], ()), 1) if i > 1 else (1,):
+            for n in (*lengths_of(word[i - 3 : i], ()), 2, 1) if i > 2 else (2, 1) if i > 1 else (1,):
                 j = i - n
                 if j < 0:
                     continue
                 p = word[j:i]
-                if p in known:
-                    if (not j or follows(last[j], p)) and whole(p):
-                        s = forward[j] + score_of[p]
-                    else:
+                s = score_of(p)
+                if s is None:
+                    if n > 1:
                         continue
-                elif n == 1:
-                    s = forward[j] + unknown
-                else:
-                    continue
-                if s > best:
-                    best, piece, start = s, p, j
+                    best, piece, start = forward[j] + unknown, p, j
+                    break
+                fit = reachable(p)
+                if fit is None:
+                    fit = whole(p)
+                if fit and j:
+                    fit = verdict_of((last[j], p))
+                    if fit is None:
+                        fit = follows(last[j], p)
+                if fit:
+                    best, piece, start = forward[j] + s, p, j
+                    break
             forward.append(best)
             last.append(piece)
             back.append(start)
-        i, pieces = len(word), []
+        i, ids = len(word), out[k]
         while i > 0:
-            pieces.append(last[i])
+            p = last[i]
+            found = id_of(p)
+            if found is not None:
+                ids.append(found)
+            else:
+                ids.extend(reversed(vocabulary.piece_ids(p)))
             i = back[i]
-        ids: list[int] = []
-        for p in reversed(pieces):
-            ids += vocabulary.piece_ids(p)
-        out[k] = ids
+        ids.reverse()
         before = word
     return out
 
