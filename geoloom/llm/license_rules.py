@@ -83,6 +83,102 @@ PLAIN = (
     ("cc0", "cc0", b"cc0", 40, 0.9), ("cc0", "cc zero", b"cc", 40, 0.8), ("cc0", "creativecommons org publicdomain zero", b"creativecommons", 60, 1.0), ("public-domain", "released into the public domain", b"domain", 45, 0.9), ("public-domain", "in the public domain", b"domain", 30, 0.6), ("public-domain", "dedicated to the public domain", b"domain", 45, 0.9), ("python", "python software foundation license", b"python", 45, 0.95), ("openssl", "openssl license", b"openssl", 45, 0.9), ("x11", "x11 license", b"x11", 45, 0.9), ("beerware", "beer ware license", b"beer", 45, 0.9), ("json", "the software shall be used for good not evil", b"evil", 60, 1.0), ("all-rights-reserved", "all rights reserved", b"reserved", 20, 0.5), ("proprietary", "proprietary and confidential", b"proprietary", 40, 0.8), ("cc", "creative commons license", b"creative", 20, 0.6), ("gpl", "gnu general public license", b"gnu", 30, 0.8), ("gpl", "gnu gpl", b"gpl", 30, 0.8), ("lgpl", "gnu lgpl", b"lgpl", 30, 0.8), ("apache", "apache license", b"apache", 30, 0.8), ("cc-by", "cc by", b"cc", 25, 0.8),
 )
 
+# Wordings of license texts and notices: label, words, the word that is searched first, priority, weight.
+WORDINGS = (
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", b"compliance", 62, 1.0),
+    ("apache-2.0", "you may obtain a copy of the license at http www apache org licenses license 2 0", b"obtain", 61, 1.0),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", b"agreed", 55, 0.9),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", b"redistribute", 58, 1.0),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", b"lesser", 59, 1.0),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu library general public license", b"library", 59, 1.0),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license", b"affero", 59, 1.0),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty", b"hope", 52, 0.9),
+    ("gpl", "you should have received a copy of the gnu general public license", b"received", 53, 0.95),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license", b"received", 54, 0.95),
+    ("agpl", "you should have received a copy of the gnu affero general public license", b"received", 54, 0.95),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", b"documentation", 60, 1.0),
+    ("classpath-exception", "linking this library statically or dynamically with other modules is making a combined work based on this library", b"statically", 60, 1.0),
+    ("gcc-exception", "gcc runtime library exception", b"gcc", 60, 1.0),
+    ("font-exception", "as a special exception if you create a document which uses this font", b"font", 58, 0.95),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", b"substantial", 58, 0.95),
+    ("mit", "released under the? mit", b"mit", 41, 0.9),
+    ("mit", "distributed under the? mit", b"mit", 41, 0.9),
+    ("mit", "mit licensed", b"mit", 41, 0.9),
+    ("mit-0", "mit no attribution", b"attribution", 46, 0.95),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", b"endorse", 58, 1.0),
+    ("bsd-3-clause", "nor the names of its contributors may be used to endorse or promote products derived from this software", b"endorse", 57, 1.0),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement", b"advertising", 58, 1.0),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", b"redistributions", 54, 0.9),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", b"redistributions", 53, 0.9),
+    ("bsd", "this software is provided by the copyright holders and contributors as is", b"contributors", 50, 0.9),
+    ("isc", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", b"fee", 61, 1.0),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", b"misrepresented", 60, 1.0),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", b"misrepresented", 60, 1.0),
+    ("libpng", "libpng license", b"libpng", 44, 0.9),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license", b"mozilla", 58, 1.0),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", b"eclipse", 58, 1.0),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", b"subject", 58, 1.0),
+    ("perl", "you can redistribute it and or modify it under the same terms as perl itself", b"perl", 60, 1.0),
+    ("ruby", "ruby license", b"ruby", 44, 0.9),
+    ("php", "this product includes php software", b"php", 58, 1.0),
+    ("openssl", "this product includes software developed by the openssl project", b"openssl", 58, 1.0),
+    ("ssleay", "this product includes cryptographic software written by", b"cryptographic", 58, 1.0),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", b"organization", 61, 1.0),
+    ("w3c", "w3c software notice and license", b"w3c", 45, 0.95),
+    ("unicode", "unicode license agreement", b"unicode", 50, 0.95),
+    ("icu", "icu license", b"icu", 44, 0.9),
+    ("ncsa", "university of illinois ncsa open source license", b"ncsa", 55, 1.0),
+    ("postgresql", "postgresql license", b"postgresql", 45, 0.95),
+    ("postgresql", "for any purpose without fee and without a written agreement is hereby granted", b"agreement", 62, 1.0),
+    ("vim", "vim license", b"vim", 44, 0.9),
+    ("ofl", "this font software is licensed under the sil open font license", b"font", 60, 1.0),
+    ("cc", "this work is licensed under a creative commons", b"creative", 35, 0.8),
+    ("cc", "licensed under creative commons", b"creative", 34, 0.8),
+    ("cc0", "cc0 1 0 universal", b"universal", 58, 1.0),
+    ("cc0", "to the extent possible under law the author has waived all copyright", b"waived", 58, 1.0),
+    ("public-domain", "this software is in the public domain", b"domain", 46, 0.9),
+    ("public-domain", "placed in the public domain", b"domain", 45, 0.9),
+    ("public-domain", "public domain dedication", b"dedication", 45, 0.9),
+    ("public-domain", "public domain mark", b"domain", 45, 0.9),
+    ("public-domain", "no rights reserved", b"reserved", 45, 0.8),
+    ("proprietary", "all rights reserved unauthorized copying", b"unauthorized", 50, 0.9),
+    ("proprietary", "this software is the confidential and proprietary information of", b"confidential", 52, 0.95),
+    ("proprietary", "unauthorized reproduction or distribution", b"unauthorized", 48, 0.8),
+    ("proprietary", "may not be reproduced or distributed without the? prior written permission", b"reproduced", 48, 0.8),
+    ("eula", "end user license agreement", b"agreement", 45, 0.9),
+    ("commercial", "commercial license", b"commercial", 30, 0.6),
+    ("non-commercial", "for non commercial use only", b"commercial", 40, 0.8),
+    ("non-commercial", "free for personal use", b"personal", 35, 0.7),
+    ("freeware", "freeware license", b"freeware", 40, 0.8),
+    ("shareware", "shareware license", b"shareware", 40, 0.8),
+    ("elastic", "elastic license", b"elastic", 45, 0.95),
+    ("commons-clause", "commons clause license condition", b"clause", 50, 0.95),
+    ("polyform", "polyform noncommercial license", b"polyform", 50, 0.95),
+    ("polyform", "polyform shield license", b"polyform", 50, 0.95),
+    ("ms-rl", "microsoft reciprocal license", b"reciprocal", 50, 0.95),
+    ("upl", "universal permissive license", b"permissive", 50, 0.95),
+    ("mulan", "mulan permissive software license", b"mulan", 51, 0.95),
+    ("blueoak", "blue oak model license", b"oak", 50, 0.95),
+    ("hippocratic", "hippocratic license", b"hippocratic", 50, 0.95),
+    ("sleepycat", "sleepycat license", b"sleepycat", 50, 0.95),
+    ("imagemagick", "imagemagick license", b"imagemagick", 50, 0.95),
+    ("qpl", "the q public license", b"public", 50, 0.95),
+    ("ijg", "this software is based in part on the work of the independent jpeg group", b"jpeg", 60, 1.0),
+    ("freetype", "the freetype project license", b"freetype", 50, 0.95),
+    ("bzip2", "bzip2 license", b"bzip2", 44, 0.9),
+    ("info-zip", "info zip license", b"zip", 44, 0.9),
+    ("ogl", "open government licence", b"government", 50, 0.95),
+    ("etalab", "licence ouverte", b"ouverte", 50, 0.95),
+    ("odc-by", "open data commons attribution license", b"attribution", 50, 0.95),
+    ("pddl", "open data commons public domain dedication and license", b"dedication", 55, 1.0),
+    ("cdla", "community data license agreement", b"community", 50, 0.95),
+    ("openrail", "openrail license", b"openrail", 50, 0.95),
+    ("llama", "llama community license", b"llama", 50, 0.95),
+    ("gpl", "licence publique générale gnu", b"publique", 50, 0.9),
+    ("gpl", "gnu allgemeine öffentliche lizenz", b"allgemeine", 50, 0.9),
+    ("gpl", "licencia pública general de gnu", b"licencia", 50, 0.9),
+)
+
 
 @cache
 def rules() -> tuple[Rule, ...]:
@@ -120,7 +216,7 @@ def rules() -> tuple[Rule, ...]:
             add(label, b"creativecommons", re.escape(f"creativecommons.org/licenses/{short}/{version}").encode(), 65, 1.0)
     for short, name in CC:
         add(f"cc-{short}", b"creative", _phrase(f"creative commons {name}"), 40 + len(short), 0.8)
-    for label, text, keyword, priority, weight in PLAIN:
+    for label, text, keyword, priority, weight in (*PLAIN, *WORDINGS):
         add(label, keyword, _phrase(text), priority, weight)
     return tuple(out)
 

@@ -544,7 +544,7 @@ def test_license_rules(text, label):
 
 @pytest.mark.parametrize("gap", [b" ", b"  ", b"\n", b"\n * ", b"\r\n# ", b"\t", b", ", b"-"])
 def test_license_keywords_lose_nothing_whatever_stands_between_words(gap):
-    for _, text, _, _, _ in license_rules.PLAIN:
+    for _, text, _, _, _ in (*license_rules.PLAIN, *license_rules.WORDINGS):
         low = gap.join(text.replace("?", "").encode().split())
         everything = license_rules.resolve([(m.start(), m.end(), i) for i, r in enumerate(license_rules.rules()) for m in r.pattern.finditer(low)])
         assert everything and license_rules.detections(low) == everything, text
