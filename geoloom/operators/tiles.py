@@ -9,7 +9,7 @@ import shutil
 import struct
 import tempfile
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -78,7 +78,11 @@ def _tile_box(z: int, x: int, y: int) -> shapes.Box:
     return corners[0, 0], corners[0, 1], corners[1, 0], corners[1, 1]
 
 
-def _encoder(all_tags: bool):
+#: layers of (id, gtype, tile-local parts, tags) and the extent in, a tile's bytes or None out.
+Encoder = Callable[[dict[str, list], int], bytes | None]
+
+
+def _encoder(all_tags: bool, encode: Encoder):
     def build(rows: list[dict]) -> list[dict]:
         z, x, y = rows[0]["z"], rows[0]["x"], rows[0]["y"]
         box = _tile_box(z, x, y)
@@ -91,14 +95,14 @@ def _encoder(all_tags: bool):
             own = dict(r["tags"] or ())
             wanted = [k for k in own if k and k != "class"] if all_tags else [k for k in ("name", *vocab.TILE_TAGS) if k in own]
             layers.setdefault(r["layer"], []).append((r["id"], r["gtype"], local, {"class": r["class"], **{k: own[k] for k in wanted}}))
-        data = tilecodec.encode_tile(layers, EXTENT)
+        data = encode(layers, EXTENT)
         return [{"z": z, "x": x, "y": y, "features": sum(map(len, layers.values())), "data": data}] if data else []
 
     return build
 
 
-def generate(features: DataFrame, min_zoom: int, max_zoom: int, all_tags: bool = False) -> DataFrame:
-    """z, x, y, features, data of every non-empty tile.
+def generate(features: DataFrame, min_zoom: int, max_zoom: int, all_tags: bool = False, encode: Encoder = tilecodec.encode_tile) -> DataFrame:
+    """z, x, y, features, data of every non-empty tile, its bytes as ``encode`` makes them.
 
     ``features``: id, layer, class, gtype, parts, tags, min_lon .. max_lat,
     ordinal. ``ordinal`` tells features apart and orders them; ids may repeat, as
@@ -116,7 +120,7 @@ def generate(features: DataFrame, min_zoom: int, max_zoom: int, all_tags: bool =
     simple = each.mapInArrow(_simplified, each.schema)
     rows = kept.join(simple, ["ordinal", "z"])
     arrow = pa.schema([("z", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("features", pa.int32()), ("data", pa.binary())])
-    return by_group(rows, ["z", "x", "y"], ["ordinal"], _encoder(all_tags), "z int, x int, y int, features int, data binary", arrow)
+    return by_group(rows, ["z", "x", "y"], ["ordinal"], _encoder(all_tags, encode), "z int, x int, y int, features int, data binary", arrow)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +147,16 @@ def in_view(tiles: DataFrame, min_lon: float, min_lat: float, max_lon: float, ma
     return tiles.filter((F.col("z") == zoom) & F.col("x").between(r[0], r[1]) & F.col("y").between(r[2], r[3]))
 
 
+def each(tiles: DataFrame, write: Callable[[int, int, int, bytes], None]) -> None:
+    """Hands every tile to ``write`` (z, x, y, bytes) on the executors; a repeated task hands its tiles over again."""
+
+    def run(rows) -> None:
+        for r in rows:
+            write(r["z"], r["x"], r["y"], bytes(r["data"]))
+
+    tiles.select("z", "x", "y", "data").foreachPartition(run)
+
+
 def write_table(tiles: DataFrame, path: str) -> None:
     """The tile table, one folder per zoom, sorted by place within files."""
     tiles.repartitionByRange("z", "x", "y").sortWithinPartitions("x", "y").write.mode("overwrite").partitionBy("z").parquet(path)

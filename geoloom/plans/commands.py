@@ -125,6 +125,35 @@ def update(spark: SparkSession, feed: str, state: changes.ReplicationState, stor
     return replication.dirty_tiles(replication.stale_boxes(boxed, store), min_zoom, max_zoom), replication.store_after(boxed, store), replication.counters(boxed)
 
 
+def follow(spark: SparkSession, feed: str, state_path: str, work: str, min_zoom: int, max_zoom: int, nodes: DataFrame | None = None) -> int:
+    """Applies the diffs after the state one by one and returns how many there were.
+
+    Each writes its dirty tiles and the store after it below ``work`` before the
+    state moves on, so a run that stops half-way repeats one diff only.
+    """
+    done = 0
+    state = changes.ReplicationState.load(state_path)
+    for sequence in [s for s in changes.sequences(spark, feed) if s > state.sequence]:
+        if sequence != state.sequence + 1:
+            break  # a diff is missing
+        store = spark.read.parquet(f"{work}/store/{state.sequence}") if done or state.sequence in _stores(spark, work) else None
+        rows = changes.read(spark, feed).filter(F.col("sequence") == sequence)
+        boxed = replication.boxed_changes(rows, nodes)
+        replication.dirty_tiles(replication.stale_boxes(boxed, store), min_zoom, max_zoom).write.mode("overwrite").parquet(f"{work}/dirty/{sequence}")
+        replication.store_after(boxed, store).write.mode("overwrite").parquet(f"{work}/store/{sequence}")
+        state = state.advanced()
+        state.save(state_path)
+        done += 1
+    return done
+
+
+def _stores(spark: SparkSession, work: str) -> set[int]:
+    """Sequences whose store is written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work}/store/*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return {int(f.getPath().getParent().getName()) for f in found}
+
+
 def area_at(f: DataFrame, regions: DataFrame, lon: float, lat: float, step: float = 0.05) -> tuple[str, bytes] | None:
     """(grid key, blob) of the cell around a position, if a region covers it."""
     if not files.region_at(regions, lon, lat).count():

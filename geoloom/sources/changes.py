@@ -97,6 +97,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(_parsed, SCHEMA)
 
 
+def sequences(spark: SparkSession, path: str) -> list[int]:
+    """The sequence numbers of the diffs below a path, in order; their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.osc*").load(path)
+    return sorted(sequence_of(r["path"]) for r in files.select("path").collect())
+
+
 class _Stream(SimpleDataSourceStreamReader):
     """Diffs in order of sequence; the offset is the last sequence that was read."""
 

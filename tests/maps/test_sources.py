@@ -290,3 +290,36 @@ def test_long_lines_become_several_records():
         back += points.tolist()[1 if back else 0 :]
     assert back == pixels.tolist()
     assert list(compact.line_records(pixels[:1])) == []
+
+
+def test_tile_hooks(spark, tmp_path):
+    rows = spark.sql("select 1L as id, 'place' as layer, 'city' as class, 'point' as gtype, array(array(array(named_struct('x', 10.0D, 'y', 10.0D)))) as parts, map('name', 'A') as tags, 10.0D as min_lon, 10.0D as min_lat, 10.0D as max_lon, 10.0D as max_lat, 0L as ordinal")
+    made = tiles.generate(rows, 4, 5, encode=lambda layers, extent: json.dumps([extent, *layers]).encode())
+    assert {bytes(r["data"]) for r in made.collect()} == {b'[4096, "place"]'}
+    out = str(tmp_path)
+
+    def write(z, x, y, data):
+        with open(f"{out}/{z}-{x}-{y}", "wb") as f:
+            f.write(data)
+
+    tiles.each(made, write)
+    assert len(list(tmp_path.iterdir())) == made.count()
+
+
+def test_following_a_feed(spark, tmp_path):
+    from geoloom.plans import commands
+
+    feed = tmp_path / "feed" / "000" / "000"
+    feed.mkdir(parents=True)
+    node = lambda action, lon: f'<osmChange><{action}><node id="7" version="1" lon="{lon}" lat="1"><tag k="amenity" v="cafe"/></node></{action}></osmChange>'
+    for n, text in ((1, node("create", 10)), (2, node("modify", 60)), (4, node("delete", 60))):
+        (feed / f"00{n}.osc").write_text(text)
+    state, work = str(tmp_path / "state.json"), str(tmp_path / "work")
+    changes.ReplicationState(0, "t", "https://d.example").save(state)
+    assert commands.follow(spark, str(tmp_path / "feed"), state, work, 0, 3) == 2  # the third diff is missing
+    assert changes.ReplicationState.load(state).sequence == 2
+    assert [r["min_lon"] for r in spark.read.parquet(f"{work}/store/2").collect()] == [60.0]
+    assert spark.read.parquet(f"{work}/dirty/2").filter("z = 3").count() == 2  # where it was and where it is
+    (feed / "003.osc").write_text("<osmChange/>")
+    assert commands.follow(spark, str(tmp_path / "feed"), state, work, 0, 3) == 2
+    assert spark.read.parquet(f"{work}/store/4").count() == 0
