@@ -108,29 +108,16 @@ def label_candidates(features: DataFrame) -> DataFrame:
     return named.select("id", "name", size.alias("size"), _lookup(LABELS, layer, cls, 1).alias("colour"), _lookup(LABELS, layer, cls, 2).alias("widest"), mid("min_lon", "max_lon").alias("lon"), mid("min_lat", "max_lat").alias("lat"), "min_lon", "min_lat", "max_lon", "max_lat")
 
 
-def _place(width: int, height: int, view_degrees: float, box: tuple[float, float, float, float]):
-    west, south, east, north = box
-
+def _place(most: int):
     def run(labels: pd.DataFrame) -> pd.DataFrame:
-        cols, rows = math.ceil(width / CELL_W) + 1, math.ceil(height / CELL_H) + 1
         taken, out = set(), []
-        for r in labels.sort_values(["size", "id"], ascending=[False, True], kind="stable").itertuples():
-            if len(out) >= MOST_LABELS:
+        for r in labels.sort_values(["order", "id", "name", "px", "py"]).itertuples():
+            if len(out) >= most:
                 break
-            if view_degrees > r.widest:
-                continue
-            px, py = (r.lon - west) / (east - west) * width, (north - r.lat) / (north - south) * height
-            if not (-50 <= px <= width + 50 and -50 <= py <= height + 50):
-                if r.min_lon > east or r.max_lon < west or r.min_lat > north or r.max_lat < south:
-                    continue
-                inner = lambda v, a, b: min(max(v, a + 0.1 * (b - a)), b - 0.1 * (b - a))
-                px, py = (inner(r.lon, west, east) - west) / (east - west) * width, (north - inner(r.lat, south, north)) / (north - south) * height
-            w, h = len(r.name.encode()) * r.size * 0.55, r.size * 1.3
-            x0, y0 = px - w / 2, py - h / 2
-            cells = {(i, j) for i in range(max(math.floor(y0 / CELL_H), 0), min(math.ceil((y0 + h) / CELL_H), rows - 1) + 1) for j in range(max(math.floor(x0 / CELL_W), 0), min(math.ceil((x0 + w) / CELL_W), cols - 1) + 1)}
+            cells = {(i, j) for i in range(r.top, r.bottom + 1) for j in range(r.left, r.right + 1)}
             if not cells & taken:
                 taken |= cells
-                out.append((r.view, r.id, r.name, px, py, float(r.size)))
+                out.append((r.view, r.id, r.name, r.px, r.py, -r.order))
         return pd.DataFrame(out, columns=["view", "id", "name", "px", "py", "size"])
 
     return run
@@ -139,12 +126,31 @@ def _place(width: int, height: int, view_degrees: float, box: tuple[float, float
 def place_labels(candidates: DataFrame, box: tuple[float, float, float, float], width: int, height: int, view: str = "v") -> DataFrame:
     """Greedy placement in one view: large labels first, on a grid that each label occupies alone.
 
-    A view is one group, as placement is sequential by definition; candidates
-    that cannot be in the view are dropped before it.
+    Placement is sequential by definition, but of candidates with the same cells
+    only the first can find them free, and of those without cells only the first
+    MOST_LABELS count. So what one task places is bounded by the view's grid, and
+    the rest leaves in a map-side aggregation.
     """
     west, south, east, north = box
     seen = candidates.filter((F.col("min_lon") <= east) & (F.col("max_lon") >= west) & (F.col("min_lat") <= north) & (F.col("max_lat") >= south) & (F.col("widest") >= east - west))
-    return seen.withColumn("view", F.lit(view)).groupBy("view").applyInPandas(_place(width, height, east - west, box), "view string, id long, name string, px double, py double, size double")
+    across = lambda lon: (lon - west) / (east - west) * width
+    down = lambda lat: (north - lat) / (north - south) * height
+    inner = lambda v, a, b: F.least(F.greatest(v, F.lit(a + 0.1 * (b - a))), F.lit(b - 0.1 * (b - a)))
+    lon, lat, size = F.col("lon").cast("double"), F.col("lat").cast("double"), F.col("size").cast("double")
+    near = across(lon).between(-50, width + 50) & down(lat).between(-50, height + 50)
+    px, py = F.when(near, across(lon)).otherwise(across(inner(lon, west, east))), F.when(near, down(lat)).otherwise(down(inner(lat, south, north)))
+    # A generated row is computed once; projections would repeat the size's lookup at every use.
+    at = seen.select(F.inline(F.array(F.struct((-size).alias("order"), F.col("id"), F.col("name"), px.alias("px"), py.alias("py"), (F.octet_length("name") * size * 0.55).alias("w"), (size * 1.3).alias("h")))))
+    x0, y0 = F.col("px") - F.col("w") / 2, F.col("py") - F.col("h") / 2
+    first = lambda v, cell: F.greatest(F.floor(v / cell), F.lit(0)).cast("int")
+    last = lambda v, cell, whole: F.least(F.ceil(v / cell), F.lit(math.ceil(whole / cell))).cast("int")
+    cells = {"top": first(y0, CELL_H), "bottom": last(y0 + F.col("h"), CELL_H, height), "left": first(x0, CELL_W), "right": last(x0 + F.col("w"), CELL_W, width)}
+    label = ["order", "id", "name", "px", "py"]
+    at = at.select(*label, *(c.alias(n) for n, c in cells.items()))
+    inside = (F.col("bottom") >= F.col("top")) & (F.col("right") >= F.col("left"))
+    shown = at.filter(inside).groupBy(*cells).agg(F.min(F.struct(*label)).alias("label")).select("label.*", *cells)
+    outside = at.filter(~inside).orderBy(*label).limit(MOST_LABELS)
+    return shown.union(outside).withColumn("view", F.lit(view)).groupBy("view").applyInPandas(_place(MOST_LABELS), "view string, id long, name string, px double, py double, size double")
 
 
 def budget(features: DataFrame, most: int) -> DataFrame:
