@@ -84,6 +84,8 @@ def memory_estimate(file_bytes: Column) -> Column:
 
 
 def next_diff_url(base: Column, sequence: Column) -> Column:
-    """Address of the diff after ``sequence``: the number in three groups of three digits."""
+    """Address of the diff after ``sequence``: the number in three groups of three digits, the first longer from a thousand million on; null without a number."""
     n = sequence + 1
-    return F.format_string("%s/%03d/%03d/%03d.osc.gz", F.regexp_replace(base, "/+$", ""), F.floor(n / 1_000_000), F.floor(n / 1000) % 1000, n % 1000)
+    by = lambda d: F.call_function("div", n, F.lit(d))  # noqa: E731  exact, as doubles are not beyond 2^53
+    url = F.format_string("%s/%03d/%03d/%03d.osc.gz", F.regexp_replace(base, "/+$", ""), by(1_000_000), by(1000) % 1000, n % 1000)
+    return F.when(n.isNotNull(), url)

@@ -103,6 +103,11 @@ def test_chunks_and_numbers(spark):
     assert one(spark, X.next_diff_url(F.lit("https://x/"), F.lit(1234567)))[0] == "https://x/001/234/568.osc.gz"
 
 
+def test_diff_urls_of_long_and_missing_numbers(spark):
+    url = lambda n: X.next_diff_url(F.lit("https://x/"), F.lit(n).cast("long"))
+    assert one(spark, url(999_999_999), url(9_172_399_999_999_999_002), url(None)) == ("https://x/1000/000/000.osc.gz", "https://x/9172399999999/999/003.osc.gz", None)
+
+
 SQUARE = np.array([[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]], dtype=float)
 
 

@@ -35,6 +35,14 @@ def test_query(spark, small, duck, name):
         assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
+def test_diff_urls_of_large_keys(spark, tmp_path):
+    con, path = duckdb.connect(), f"{tmp_path}/orders.parquet"
+    con.execute(f"copy (select cast(k as bigint) as o_orderkey from (values (null), (0), (1003009), (1003010), (8999999), (1000000000), (9199999999999999)) t(k)) to '{path}' (format parquet)")
+    con.execute(f"create view orders as select * from '{path}'")
+    got = [tuple(r) for r in entry.queries()["diff_urls"](spark, str(tmp_path)).select("id", "url").collect()]
+    assert sorted(got, key=str) == sorted(con.execute(ORACLE["diff_urls"]).fetchall(), key=str)
+
+
 def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() > 0
 
